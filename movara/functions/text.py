@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -40,21 +41,29 @@ def _fold_rules() -> tuple[str, str, dict[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def _expanding_class() -> str:
-    _, _, expanding = _fold_rules()
-    return "[" + "".join(sorted(expanding)) + "]"
+def _expanding_classes() -> tuple[str, str]:
+    """A one-range guard for the expanding characters, and their exact class as runs."""
+    codes = sorted(ord(char) for char in _fold_rules()[2])
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    exact = "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in runs)
+    return f"[\\u{codes[0]:04x}-\\uffff]", f"[{exact}]"
 
 
 def strip_accents(value) -> Column:
     """Drop diacritics and fold compatibility characters."""
     value = as_col(value)
     source, target, expanding = _fold_rules()
-    pairs = [F.lit(item) for pair in expanding.items() for item in pair]
-    lookup = F.create_map(*pairs)
+    lookup = F.from_json(F.lit(json.dumps(expanding)), "map<string,string>")
     spread = F.array_join(
         F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
     )
-    widened = F.when(value.rlike(_expanding_class()), spread).otherwise(value)
+    guard, exact = _expanding_classes()
+    widened = F.when(value.rlike(guard) & value.rlike(exact), spread).otherwise(value)
     return F.regexp_replace(F.translate(widened, source, target), r"\p{Mn}", "")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, long_form, numeric_columns, round_to
+from movara.functions.columns import first_match, long_form, numeric_columns, round_to, stacked
 from movara.functions.labels import quality_label
 from movara.operators.stats import duplicate_rows, missing_summary, per_column, quantile_table
 
@@ -148,10 +148,11 @@ def quality_score(df: DataFrame, numeric: Iterable[str] | None = None) -> DataFr
 def quality_rates(scored: DataFrame) -> DataFrame:
     """The quality chart: score and defect percentages."""
     rate = lambda count, base: F.round(F.col(count) / F.greatest(base, F.lit(1)) * 100, 2)
-    rows = F.array(
-        F.struct(F.lit("quality").alias("indicator"), F.col("score").cast("double").alias("value")),
-        F.struct(F.lit("missing_pct"), rate("missing_total", F.col("rows") * F.col("columns"))),
-        F.struct(F.lit("duplicate_pct"), rate("duplicate_rows", F.col("rows"))),
-        F.struct(F.lit("outlier_pct"), rate("outliers", F.col("rows"))),
+    shown = stacked(
+        ("indicator", "value"),
+        ("quality", F.col("score").cast("double")),
+        ("missing_pct", rate("missing_total", F.col("rows") * F.col("columns"))),
+        ("duplicate_pct", rate("duplicate_rows", F.col("rows"))),
+        ("outlier_pct", rate("outliers", F.col("rows"))),
     )
-    return scored.select(F.inline(rows), quality_label("score").alias("label"))
+    return scored.select(shown, quality_label("score").alias("label"))

@@ -360,7 +360,7 @@ def period_slice(spark, sf_dir):
     + _YOY_SQL
     + f""", sl AS (SELECT * FROM yo {_SLICE}),
 t AS (SELECT sum(value) AS total, CAST(sum(CAST(value AS DECIMAL(38,10))) AS DOUBLE) / count(*) AS mean, sum(previous_year_value) AS py FROM sl)
-SELECT round(total, 2) AS total, round(mean, 4) AS monthly_mean,
+SELECT round(total, 2) AS total, round(mean, 6) AS monthly_mean,
        (SELECT period FROM sl ORDER BY value DESC, period LIMIT 1) AS best_period,
        (SELECT period FROM sl ORDER BY value, period LIMIT 1) AS worst_period,
        (SELECT period FROM sl WHERE delta IS NOT NULL ORDER BY delta DESC, period LIMIT 1) AS rise_period,
@@ -370,7 +370,7 @@ SELECT round(total, 2) AS total, round(mean, 4) AS monthly_mean,
 )
 def slice_summary(spark, sf_dir):
     rows = P.slice_summary(value_series(spark, sf_dir), 2000, 2, 9)
-    places = {"total": 2, "previous_year_total": 2, "delta": 2, "monthly_mean": 4, "pct": 4}
+    places = {"total": 2, "previous_year_total": 2, "delta": 2, "monthly_mean": 6, "pct": 4}
     return rows.select(*[round_to(c, places[c]).alias(c) if c in places else F.col(c) for c in rows.columns])
 
 

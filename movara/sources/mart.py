@@ -95,3 +95,23 @@ def sales_mart(spark: SparkSession, sf_dir: str, *columns: str, until: str | Non
         _, foreign, key = LOOKUPS[name]
         df = df.join(table(spark, sf_dir, name), F.col(foreign) == F.col(key), "left")
     return df.select(*[make(source).alias(column) for column in columns for _, make, source in [COLUMNS[column]]])
+
+
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with injected defects: nulls, outliers, negatives, an empty column, repeated rows."""
+    key = lambda name, n: F.col(name) % n == 0
+    price = F.col("l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        F.when(~key("l_partkey", 7), F.col("l_quantity")).alias("quantity"),
+        F.when(key("l_orderkey", 997), price * 40).otherwise(price).alias("price"),
+        F.when(key("l_partkey", 9), -price).otherwise(price).alias("net"),
+        F.when(key("l_orderkey", 5), 9.0).otherwise(1.0).alias("flat"),
+        F.when(~key("l_suppkey", 11), F.col("l_returnflag")).alias("flag"),
+        F.when(~key("l_partkey", 13), F.col("l_linestatus")).alias("status"),
+        F.lit(None).cast("string").alias("note"),
+    )
+    return rows.unionByName(rows.where(key("l_orderkey", 50)))
