@@ -69,3 +69,8 @@ def stacked(names: Iterable[str], *rows: tuple) -> Column:
 def exact_sum(value) -> Column:
     """Order-independent sum: the same double whatever the partitioning."""
     return F.sum(as_col(value).cast("decimal(38,10)"))
+
+
+def let(value, build) -> Column:
+    """``build(value)`` with the value evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(as_col(value)), build), F.lit(0))

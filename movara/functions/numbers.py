@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from movara.functions.columns import as_col, first_match
+from movara.functions.columns import as_col, first_match, let
 from movara.functions.text import trim_all
 
+PLAIN_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
+
 
 def number_text(value, strict: bool = False) -> Column:
     """Money-like text rewritten with a plain decimal point.
@@ -19,34 +21,35 @@ def number_text(value, strict: bool = False) -> Column:
     text = trim_all(value)
     bare = F.regexp_replace(text, r"[^\d,.\-]", "")
     signed = F.when(text.startswith("(") & text.endswith(")"), F.concat(F.lit("-"), bare)).otherwise(bare)
-    comma = signed.contains(",")
-    dot = signed.contains(".")
-    no_comma = F.replace(signed, F.lit(","), F.lit(""))
-    no_dot = F.replace(signed, F.lit("."), F.lit(""))
-    plain = first_match(
-        (signed.isin("", "-", ".", ","), None),
-        (
-            comma & dot & signed.rlike(r",[^.]*$"),
-            F.replace(no_dot, F.lit(","), F.lit(".")),
-        ),
-        (comma & dot, no_comma),
-        (comma & signed.rlike(r"^-?\d{1,3}(,\d{3})+$"), no_comma),
-        (comma, F.replace(signed, F.lit(","), F.lit("."))),
-        (signed.rlike(r"^-?\d{1,3}(\.\d{3})+$"), no_dot),
-        default=signed,
-    )
+    plain = let(signed, _decimal_point)
     if strict:
         return F.when(~text.rlike(r"(?i)^\(?\s*(?:[a-z]{1,3}\$|us\$|eur|brl|usd)?.*[a-z]"), plain)
     return plain
 
 
+def _decimal_point(text: Column) -> Column:
+    comma, dot = text.contains(","), text.contains(".")
+    no_comma = F.replace(text, F.lit(","), F.lit(""))
+    comma_as_point = F.replace(text, F.lit(","), F.lit("."))
+    no_dot = F.replace(text, F.lit("."), F.lit(""))
+    return first_match(
+        (text.isin("", "-", ".", ","), None),
+        (comma & dot & text.rlike(r",[^.]*$"), F.replace(no_dot, F.lit(","), F.lit("."))),
+        (comma & dot, no_comma),
+        (comma & text.rlike(r"^-?\d{1,3}(,\d{3})+$"), no_comma),
+        (comma, comma_as_point),
+        (text.rlike(r"^-?\d{1,3}(\.\d{3})+$"), no_dot),
+        default=text,
+    )
+
+
 def parse_number(value, strict: bool = False) -> Column:
-    text = number_text(value, strict)
-    return F.when(text.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
+    checked = lambda text: F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    return let(number_text(value, strict), checked)
 
 
 def looks_numeric(value) -> Column:
-    return F.coalesce(number_text(value).rlike(r"^-?(\d+\.?\d*|\.\d+)$"), F.lit(False))
+    return F.coalesce(number_text(value).rlike(PLAIN_NUMBER), F.lit(False))
 
 
 def format_ptbr(value, compact: bool = False) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, long_form, ratio, round_to
+from movara.functions.columns import first_match, long_form, ratio, round_to, stacked
 from movara.functions.labels import concentration_level, direction
 from movara.operators.periods import abnormal_periods, focus_movement, movements, period_metrics
 from movara.sources.mart import AnalysisSpec
@@ -357,24 +357,16 @@ def confidence_levels(top: DataFrame, focus: DataFrame, evidence: DataFrame, spe
     )
     drivers = evidence.agg(F.count("*")).scalar()
     with_pct = focus.select(F.col("pct").isNotNull().cast("int")).scalar()
+    found = (F.col("contributors") > 0).cast("int")
+    explained = (drivers > 0).cast("int")
+    covered = F.coalesce(F.col("coverage") >= 0.75, F.lit(False)).cast("int")
     scored = primary.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit("root_cause").alias("scope"),
-                    (
-                        (F.col("contributors") > 0).cast("int")
-                        + (drivers > 0).cast("int")
-                        + F.coalesce(F.col("coverage") >= 0.75, F.lit(False)).cast("int")
-                    ).alias("score"),
-                ),
-                F.struct(
-                    F.lit("focus_insight"),
-                    F.lit(1) + (drivers > 0).cast("int") + (F.col("contributors") > 0).cast("int") + with_pct,
-                ),
-            )
-        ).alias("s")
-    ).select("s.*")
+        stacked(
+            ("scope", "score"),
+            ("root_cause", found + explained + covered),
+            ("focus_insight", F.lit(1) + explained + found + with_pct),
+        )
+    )
     root = F.col("scope") == "root_cause"
     level = first_match(
         (root & (F.col("score") >= 3), "high"),

@@ -69,11 +69,11 @@ DIMENSIONS = ("product_type", "segment", "region", "brand")
 DIM_ORDER = "CASE dimension " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(DIMENSIONS)) + " END"
 
 
-def long_entities(name: str = "ep") -> str:
+def long_entities(dimensions=DIMENSIONS, name: str = "ep") -> str:
     parts = [
         f"SELECT '{d}' AS dimension, {d} AS name, period, CAST(sum(amount) AS DOUBLE) AS value "
         f"FROM m WHERE {d} IS NOT NULL GROUP BY {d}, period"
-        for d in DIMENSIONS
+        for d in dimensions
     ]
     return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
 
@@ -136,6 +136,11 @@ IMPACT = """impact AS (
   FROM top WHERE position <= 5 QUALIFY impact_rank <= 12
 )"""
 
-ROOT = ctes(
-    CLOSED_MART, series(), moves(), FOCUS, long_entities(), CONTRIBUTIONS, RECURRENCE, TOP, IMPACT
-)
+
+def root(dimensions=DIMENSIONS) -> str:
+    return ctes(
+        CLOSED_MART, series(), moves(), FOCUS, long_entities(dimensions), CONTRIBUTIONS, RECURRENCE, TOP, IMPACT
+    )
+
+
+ROOT = root()
