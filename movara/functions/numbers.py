@@ -49,7 +49,8 @@ def parse_number(value, strict: bool = False) -> Column:
 
 
 def looks_numeric(value) -> Column:
-    return F.coalesce(number_text(value).rlike(PLAIN_NUMBER), F.lit(False))
+    value = as_col(value)
+    return F.coalesce(value.rlike(r"\d") & number_text(value).rlike(PLAIN_NUMBER), F.lit(False))
 
 
 def format_ptbr(value, compact: bool = False) -> Column:

@@ -64,7 +64,8 @@ def strip_accents(value) -> Column:
     )
     guard, exact = _expanding_classes()
     widened = F.when(value.rlike(guard) & value.rlike(exact), spread).otherwise(value)
-    return F.regexp_replace(F.translate(widened, source, target), r"\p{Mn}", "")
+    folded = F.regexp_replace(F.translate(widened, source, target), r"\p{Mn}", "")
+    return F.when(value.rlike(r"[^\x00-\x7f]"), folded).otherwise(value)
 
 
 def normalize(value, separator: str = "_") -> Column:
@@ -87,7 +88,7 @@ def blank_to_null(value) -> Column:
 
 
 def trim_all(value) -> Column:
-    return F.regexp_replace(as_col(value), r"^\s+|\s+$", "")
+    return F.btrim(as_col(value), F.lit(" \t\n\r\f\v"))
 
 
 def normalize_name(name: str, separator: str = "_") -> str:
