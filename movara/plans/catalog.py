@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from movara.plans import causes, ingestion, parsing, periods, profiling, ranking  # noqa: F401
+from movara.plans import causes, ingestion, parsing, periods, profiling, ranking, roles  # noqa: F401
 from movara.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

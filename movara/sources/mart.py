@@ -97,7 +97,7 @@ def sales_mart(spark: SparkSession, sf_dir: str, *columns: str, until: str | Non
     return df.select(*[make(source).alias(column) for column in columns for _, make, source in [COLUMNS[column]]])
 
 
-def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """Line items with injected defects: nulls, outliers, negatives, an empty column, repeated rows."""
     key = lambda name, n: F.col(name) % n == 0
     price = F.col("l_extendedprice")
@@ -113,5 +113,6 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~key("l_suppkey", 11), F.col("l_returnflag")).alias("flag"),
         F.when(~key("l_partkey", 13), F.col("l_linestatus")).alias("status"),
         F.lit(None).cast("string").alias("note"),
+        *extra,
     )
     return rows.unionByName(rows.where(key("l_orderkey", 50)))
