@@ -54,56 +54,103 @@ FULL_DATE_SHAPES = (
 )
 
 
-def _share(value: Column, test: Column) -> Column:
-    """Share of present values that pass; 0 when there are none."""
-    hit = F.when(value.isNotNull(), F.coalesce(test, F.lit(False)).cast("double"))
-    return F.coalesce(F.avg(hit), F.lit(0.0))
+SHAPE_COLUMNS = (
+    "month_ratio", "period_ratio", "quarter_ratio", "full_date_ratio", "text_unix_ratio", "text_parsed_ratio",
+    "parsed_rows", "first_year", "last_year",
+)
+
+# Every date, period and number starts like this; other cells only count as misses.
+DATE_START = r"^(?:[-+.]?\d|[A-Za-z\u00c0-\u00ff]{1,12}[\s_/-]*\d)"
+
+
+def is_unix(number: Column) -> Column:
+    low, high = UNIX_SECONDS
+    size = F.abs(number)
+    inside = size.between(low, high) | size.between(low * 1000.0, high * 1000.0)
+    return F.coalesce(inside, F.lit(False))
+
+
+def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Shares of date, period and unix shapes per text column, over all rows.
+
+    Cells are unfolded to (column, text) and counted, so a repeated value is parsed once and
+    hot values collapse before the shuffle; cells that cannot be dates collapse to one row.
+    """
+    cells = df.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns])
+    long = cells.unpivot([], columns, "column", "text").where(F.col("text").isNotNull())
+    possible = F.when(F.col("text").rlike(DATE_START), F.col("text"))
+    counted = long.groupBy("column", possible.alias("text")).agg(F.count("*").alias("copies"))
+    text = F.col("text")
+    flags = {f"m{i}": text.rlike(p) for i, p in enumerate(MONTH_SHAPES)}
+    flags |= {f"q{i}": text.rlike(p) for i, p in enumerate(QUARTER_SHAPES)}
+    flags["full"] = text.rlike("|".join(f"(?:{p})" for p in FULL_DATE_SHAPES))
+    flags["unix"] = is_unix(text.try_cast("double"))
+    parsed = (
+        counted.withColumn("other", F.coalesce(parse_period(text), parse_unix(text)))
+        .withColumn("month_first", F.coalesce("other", parse_date(text)))
+        .withColumn("day_first", F.coalesce("other", parse_date(text, day_first=True)))
+        .withColumn("year", F.year(F.coalesce("day_first", "month_first")))
+    )
+    hits = lambda test: F.sum(F.when(test, F.col("copies")).otherwise(0))
+    summed = parsed.groupBy("column").agg(
+        F.sum("copies").alias("cells"),
+        *[hits(test).alias(name) for name, test in flags.items()],
+        F.greatest(hits(F.col("month_first").isNotNull()), hits(F.col("day_first").isNotNull())).alias("parsed_rows"),
+        F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"),
+    )
+    share = lambda *names: F.greatest(*[F.col(n) for n in names], F.lit(0)) / F.col("cells")
+    return summed.select(
+        "column",
+        share("m0", "m1", "m2").alias("month_ratio"),
+        share("m0", "m1", "q0", "q1").alias("period_ratio"),
+        share("q0", "q1", "q2").alias("quarter_ratio"),
+        share("full").alias("full_date_ratio"),
+        share("unix").alias("text_unix_ratio"),
+        share("parsed_rows").alias("text_parsed_ratio"),
+        "parsed_rows",
+        "first_year",
+        "last_year",
+    )
 
 
 def column_catalog(df: DataFrame) -> DataFrame:
-    """One pass over the table: position, physical class and value shares of every column."""
-    classes = {
-        f.name: "numeric" if isinstance(f.dataType, T.NumericType)
-        else "datetime" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        else "text"
-        for f in df.schema.fields
-    }
+    """Position, physical class, value sums and shape shares of every column."""
+    classes = {}
+    for field in df.schema.fields:
+        temporal = isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        numeric = isinstance(field.dataType, T.NumericType)
+        classes[field.name] = "numeric" if numeric else "datetime" if temporal else "text"
     position = {c: i for i, c in enumerate(df.columns)}
-    low, high = UNIX_SECONDS
 
     def measures(c: str) -> dict[str, Column]:
-        kind = classes[c]
-        number = F.col(c).cast("double") if kind == "numeric" else F.lit(None).cast("double")
-        text = F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if kind != "datetime" else F.lit(None).cast("string")
-        is_text = kind == "text"
-        shape = lambda patterns: F.greatest(*[_share(text, text.rlike(p)) for p in patterns]) if is_text else F.lit(0.0)
-        size = F.abs(text.try_cast("double"))
-        unix = size.between(low, high) | size.between(low * 1000.0, high * 1000.0)
-        default, day_first = parse_date(text), parse_date(text, day_first=True)
-        rest = F.coalesce(parse_period(text), parse_unix(text)) if is_text else parse_unix(text)
-        parsed = F.greatest(
-            _share(text, F.coalesce(default, rest).isNotNull()), _share(text, F.coalesce(day_first, rest).isNotNull())
-        ) if is_text else _share(text, rest.isNotNull())
+        number = F.col(c).cast("double") if classes[c] == "numeric" else F.lit(None).cast("double")
+        total = lambda v: F.coalesce(F.sum(v.cast("decimal(28,4)")).cast("double"), F.lit(0.0))
         return {
             "position": F.lit(position[c]),
-            "class": F.lit(kind),
+            "class": F.lit(classes[c]),
+            "rows": F.count("*"),
             "present": F.count(F.col(c)),
-            "month_ratio": shape(MONTH_SHAPES),
-            "period_ratio": shape(MONTH_SHAPES[:2] + QUARTER_SHAPES[:2]),
-            "quarter_ratio": shape(QUARTER_SHAPES),
-            "full_date_ratio": _share(text, text.rlike("|".join(f"(?:{p})" for p in FULL_DATE_SHAPES)))
-            if is_text
-            else F.lit(0.0),
-            "unix_ratio": _share(text, unix),
-            "parsed_ratio": parsed,
             "negative_ratio": F.coalesce(F.try_divide(F.count_if(number < 0), F.count(number)), F.lit(0.0)),
-            "abs_sum": F.coalesce(F.sum(F.abs(number).cast("decimal(28,4)")).cast("double"), F.lit(0.0)),
-            "positive_sum": F.coalesce(
-                F.sum(F.greatest(number, F.lit(0.0)).cast("decimal(28,4)")).cast("double"), F.lit(0.0)
-            ),
+            "abs_sum": total(F.abs(number)),
+            "positive_sum": total(F.greatest(number, F.lit(0.0))),
+            "number_unix_ratio": F.coalesce(F.avg(F.when(number.isNotNull(), is_unix(number).cast("double"))), F.lit(0.0)),
         }
 
-    return per_column(df, df.columns, measures)
+    stats = per_column(df, df.columns, measures)
+    texts = [c for c, kind in classes.items() if kind == "text"]
+    shapes = text_shapes(df, texts) if texts else None
+    joined = stats.join(shapes, "column", "left") if shapes is not None else stats.select(
+        "*", *[F.lit(None).cast("double").alias(c) for c in SHAPE_COLUMNS]
+    )
+    ratios = [c for c in joined.columns if c.endswith("_ratio")]
+    filled = joined.fillna(0.0, subset=ratios)
+    is_text = F.col("class") == "text"
+    return filled.select(
+        "*",
+        F.when(is_text, F.col("text_unix_ratio")).otherwise(F.col("number_unix_ratio")).alias("unix_ratio"),
+        F.when(is_text, F.col("text_parsed_ratio")).otherwise(F.col("number_unix_ratio")).alias("parsed_ratio"),
+    ).drop("text_unix_ratio", "text_parsed_ratio", "number_unix_ratio")
 
 
 def with_types(catalog: DataFrame) -> DataFrame:
@@ -308,6 +355,18 @@ def fallback_metrics(typed: DataFrame) -> DataFrame:
     )
 
 
+def year_column(df: DataFrame, exclude: str) -> str | None:
+    """The column that most often holds a year; one row per column is read by the driver."""
+    others = [c for c in df.columns if c != exclude]
+    cells = df.select(*[F.col(c).cast("string").alias(c) for c in others])
+    rows = df.agg(F.count("*")).scalar()
+    long = cells.unpivot([], others, "column", "text").where(F.col("text").rlike(r"\d"))
+    shares = long.groupBy("column").agg((F.count(year_number("text")) / rows).alias("share")).where("share >= 0.6")
+    bonus = contains_any_col("column", YEAR_TERMS).cast("int")
+    best = shares.orderBy(F.desc("share"), bonus.desc(), F.desc("column")).limit(1).collect()
+    return best[0]["column"] if best else None
+
+
 def time_axis(df: DataFrame, typed: DataFrame) -> DataFrame:
     """The period axis: a year and month pair, else a date column, else a suggested period.
 
@@ -318,42 +377,30 @@ def time_axis(df: DataFrame, typed: DataFrame) -> DataFrame:
     matching = lambda terms, pool: next((c for t in terms for c in pool if t in normalize_name(c)), None)
     year = matching(YEAR_TERMS, names)
     month = matching(MONTH_TERMS, [c for c in names if c != year])
-    options = []
-    if month:
-        for candidate in [year] if year else [c for c in names if c != month]:
-            parsed = year_month_date(candidate, month)
-            year_ratio = F.avg(year_number(candidate).isNotNull().cast("double"))
-            options.append(
-                F.struct(
-                    F.lit(0).alias("tier"),
-                    F.when(F.lit(bool(year)) | (year_ratio >= 0.6), F.avg(parsed.isNotNull().cast("double"))).alias("ratio"),
-                    F.when(F.lit(bool(year)), 0.0).otherwise(-year_ratio).alias("preference"),
-                    F.lit(f"{candidate} + {month}").alias("columns"),
-                )
-            )
-    for c, kind in df.dtypes:
-        parsed = F.col(c).cast("timestamp_ntz") if kind.startswith(("date", "timestamp")) else F.coalesce(
-            parse_period(c), parse_date(c, day_first=True), parse_date(c), parse_unix(c)
+    if month and not year:
+        year = year_column(df, month)
+    months = contains_any_col("column", MONTH_TERMS)
+    month_only = months & (F.col("first_year") == 2000) & (F.col("last_year") == 2000)
+    listed = (
+        date_candidates(typed)
+        .join(typed.drop("position"), "column")
+        .where(~F.coalesce(month_only, F.lit(False)))
+        .select(
+            F.when(F.col("kind") == "datetime", 1).otherwise(2).alias("tier"),
+            "position",
+            F.col("column").alias("columns"),
+            F.try_divide(F.coalesce("parsed_rows", F.col("present")), F.col("rows")).alias("ratio"),
         )
-        placeholder = F.coalesce(F.min(F.year(parsed)) == 2000, F.lit(False)) & (F.max(F.year(parsed)) == 2000)
-        refused = F.lit(any(t in normalize_name(c) for t in MONTH_TERMS)) & placeholder
-        options.append(
-            F.struct(
-                F.lit(1).alias("tier"),
-                F.when(~F.coalesce(refused, F.lit(False)), F.avg(parsed.isNotNull().cast("double"))).alias("ratio"),
-                F.lit(0.0).alias("preference"),
-                F.lit(c).alias("columns"),
-            )
+    )
+    if year and month:
+        pair = df.agg(
+            F.lit(0).alias("tier"),
+            F.lit(0).alias("position"),
+            F.lit(f"{year} + {month}").alias("columns"),
+            F.avg(year_month_date(year, month).isNotNull().cast("double")).alias("ratio"),
         )
-    measured = df.agg(F.array(*options).alias("o")).select(F.inline("o"))
-    candidates = date_candidates(typed).select(F.col("column").alias("columns"), "position", "kind")
-    tier = F.when(F.col("tier") == 0, 0).when(F.col("kind") == "datetime", 1).otherwise(2)
-    listed = measured.join(candidates, "columns", "left").where(
-        ((F.col("tier") == 0) | F.col("kind").isNotNull()) & (F.col("ratio") >= 0.6)
+        listed = pair.unionByName(listed)
+    best = listed.where(F.col("ratio") >= 0.6).agg(
+        F.min_by(F.struct("columns", "ratio"), F.struct("tier", "position")).alias("best")
     )
-    return listed.agg(
-        F.min_by(
-            F.struct("columns", "ratio"),
-            F.struct(tier.alias("t"), F.col("preference"), F.coalesce("position", F.lit(0)).alias("p")),
-        ).alias("best")
-    ).select(F.col("best.columns").alias("columns"), round_to("best.ratio").alias("ratio"))
+    return best.select(F.col("best.columns").alias("columns"), round_to("best.ratio").alias("ratio"))
