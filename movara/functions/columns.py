@@ -74,3 +74,14 @@ def exact_sum(value) -> Column:
 def let(value, build) -> Column:
     """``build(value)`` with the value evaluated once per row, however often it is used."""
     return F.get(F.transform(F.array(as_col(value)), build), F.lit(0))
+
+
+def settled(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A small result computed once and reused as a local table.
+
+    Only for frames bounded by the schema or the calendar (one row per column, month or
+    table): evidence that several later steps read must not rescan the facts each time.
+    A frame larger than ``most_rows`` is returned as the lazy plan it was.
+    """
+    rows = df.limit(most_rows + 1).collect()
+    return df if len(rows) > most_rows else df.sparkSession.createDataFrame(rows, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, numeric_columns, round_to
+from movara.functions.columns import first_match, numeric_columns, round_to, settled
 from movara.functions.names import is_identifier, is_noise
 from movara.functions.text import normalize_name
 from movara.operators import quality, roles, stats
@@ -37,12 +37,13 @@ def audit_findings(
     domain: str,
     numeric: Iterable[str] | None = None,
     ingest_warnings: int = 0,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """Every fired rule with its severity and measure; each rule is a select over one-row evidence."""
     metrics = list(metrics)
     numeric = list(numeric or numeric_columns(df))
-    scored = quality.quality_score(df, numeric)
-    typed = roles.with_types(roles.column_catalog(df))
+    scored = settled(quality.quality_score(df, numeric)) if scored is None else scored
+    typed = roles.profile(df)
     evidence = typed.agg(
         F.count_if(F.col("type") == "datetime").alias("dates"),
         F.count("*").alias("columns"),
@@ -55,7 +56,7 @@ def audit_findings(
         findings.append(_finding(evidence, "generic_header", "critical" if rate >= 0.2 else "warning", float(len(generic))))
 
     suggested = roles.period_suggestions(typed).agg(F.count("*").alias("n"))
-    no_dates = evidence.select((F.col("dates") == 0)).scalar()
+    no_dates = evidence.select(F.col("dates") == 0).scalar()
     findings.append(
         _finding(suggested, "period_as_text", F.when(no_dates, "warning").otherwise("info"), F.col("n"), F.col("n") > 0)
     )
@@ -68,7 +69,8 @@ def audit_findings(
         findings += _metric_findings(df, evidence, metrics, numeric, domain)
 
     missing_rate = F.col("missing_total") / F.greatest(F.col("rows") * F.col("columns"), F.lit(1))
-    worst = stats.missing_counts(df).agg(F.max("missing")).scalar() / F.greatest(F.col("rows"), F.lit(1))
+    fullest = typed.agg(F.min("present")).scalar()
+    worst = F.lit(1.0) - fullest / F.greatest(F.col("rows"), F.lit(1))
     level = first_match(
         (missing_rate >= 0.25, "critical"), ((missing_rate >= 0.08) | (worst >= 0.35), "warning"), default="info"
     )
@@ -135,15 +137,15 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
-def audit_score(findings: DataFrame, quality_score: Column) -> DataFrame:
+def audit_score(findings: DataFrame, scored: DataFrame) -> DataFrame:
     """Quality score minus the points of all findings; a clean table carries one note."""
     points = first_match(*[(F.col("severity") == s, p) for s, p in SEVERITY_POINTS.items()], default=3)
-    lost = F.coalesce(F.sum(points), F.lit(SEVERITY_POINTS["info"]))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), quality_score - lost))
-    return findings.agg(
+    totals = findings.agg(
         F.count_if(F.col("severity") == "critical").alias("critical"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
         F.count_if(F.col("severity") == "info").alias("notes"),
-        lost.cast("bigint").alias("points_lost"),
-        score.cast("bigint").alias("score"),
+        F.coalesce(F.sum(points), F.lit(SEVERITY_POINTS["info"])).cast("bigint").alias("points_lost"),
     )
+    left = scored.select("score").scalar() - F.col("points_lost")
+    score = F.greatest(F.lit(0), F.least(F.lit(100), left)).cast("bigint")
+    return totals.withColumn("score", score)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movara.functions.columns import first_match, round_to
+from movara.functions.columns import first_match, round_to, settled
 from movara.functions.dates import UNIX_SECONDS, parse_date, parse_period, parse_unix, year_month_date, year_number
 from movara.functions.names import (
     ADJUSTMENT_TERMS,
@@ -200,6 +200,11 @@ def date_candidates(typed: DataFrame) -> DataFrame:
     return dates.unionByName(period_suggestions(typed))
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """Typed catalog of a table, computed in one pass and settled (one row per column)."""
+    return settled(with_types(column_catalog(df)))
+
+
 def flagged_names(catalog: DataFrame) -> DataFrame:
     return catalog.select("column", "present", *[c.alias(n) for n, c in name_flags("column").items()])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, long_form, ratio, round_to, stacked
+from movara.functions.columns import first_match, long_form, ratio, round_to, settled, stacked
 from movara.functions.labels import concentration_level, direction
 from movara.operators.periods import abnormal_periods, focus_movement, movements, period_metrics
 from movara.sources.mart import AnalysisSpec
@@ -114,9 +114,10 @@ def recurrence(moves: DataFrame, slots: DataFrame, top: int = 3, minimum: int =
     )
 
 
-def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8) -> DataFrame:
+def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8, series: DataFrame | None = None) -> DataFrame:
     """Top contributors of every dimension to the focus movement, with shares, history and recurrence."""
-    series = period_metrics(df, AnalysisSpec(metric=spec.metric, period=spec.period, supports={}))
+    if series is None:
+        series = settled(period_metrics(df, AnalysisSpec(metric=spec.metric, period=spec.period, supports={})))
     focus = focus_movement(movements(series))
     slots = period_slots(series, focus)
     moves = entity_movements(entity_periods(df, spec), slots)
@@ -145,9 +146,8 @@ def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8) -> DataFrame
         concentration_level(share).alias("concentration"),
         F.when(F.col("appearances").isNotNull(), "recurrent").otherwise("one_off").alias("recurrence"),
     )
-    return detailed.select(
-        *[round_to(c).alias(c) if c in ROUNDED else F.col(c) for c in detailed.columns]
-    )
+    rounded = [round_to(c).alias(c) if c in ROUNDED else F.col(c) for c in detailed.columns]
+    return settled(detailed.select(*rounded))
 
 
 def impact_ranking(top: DataFrame, per_dimension: int = 5, limit: int = 12) -> DataFrame:

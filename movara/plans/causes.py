@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movara.functions.columns import round_to
+from movara.functions.columns import round_to, settled
 from movara.operators import periods as P
 from movara.operators import rootcause as R
 from movara.plans import sql as S
@@ -22,8 +22,8 @@ def mart(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 def closed_series(spark, sf_dir, supports: bool = False) -> DataFrame:
     if supports:
         rows = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns, until=S.UNTIL)
-        return P.period_metrics(rows, SPEC)
-    return P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=S.UNTIL), "amount")
+        return settled(P.period_metrics(rows, SPEC))
+    return settled(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=S.UNTIL), "amount"))
 
 
 def focus_row(spark, sf_dir) -> DataFrame:
@@ -38,7 +38,7 @@ def entity_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def top(spark, sf_dir) -> DataFrame:
-    return R.contributors(mart(spark, sf_dir), SPEC)
+    return R.contributors(mart(spark, sf_dir), SPEC, series=closed_series(spark, sf_dir))
 
 
 TOP_COLUMNS = (

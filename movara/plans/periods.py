@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movara.functions.columns import ratio, round_to
+from movara.functions.columns import ratio, round_to, settled
 from movara.operators import periods as P
 from movara.plans import sql as S
 from movara.plans.registry import query
@@ -16,11 +16,11 @@ SPEC = AnalysisSpec()
 
 def full_series(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     mart = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns, until=until)
-    return P.period_metrics(mart, SPEC)
+    return settled(P.period_metrics(mart, SPEC))
 
 
 def value_series(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    return P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=until), "amount")
+    return settled(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=until), "amount"))
 
 
 def moved(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:

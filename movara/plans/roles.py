@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movara.functions.columns import round_to
+from movara.functions.columns import round_to, settled
 from movara.functions.names import ADJUSTMENT_TERMS, IDENTIFIER_TERMS, NOISE_TERMS
 from movara.operators import audit, dashboard, filters, quality
 from movara.operators import roles as R
 from movara.operators import vocabulary as V
 from movara.plans import profiling
 from movara.plans import sql as S
+from movara.plans.profiling import outlier_sql
 from movara.plans.registry import query
 from movara.sources.mart import dirty_lines, sales_mart, table
 
@@ -114,7 +115,7 @@ BASE = f"WITH {_VIEW},\n{_TYPED}"
 
 
 def typed(spark, sf_dir) -> DataFrame:
-    return R.with_types(R.column_catalog(retail(spark, sf_dir)))
+    return R.profile(retail(spark, sf_dir))
 
 
 @query(
@@ -164,7 +165,7 @@ _ADJUST = f"regexp_matches(\"column\", '{'|'.join(ADJUSTMENT_TERMS)}')"
   {_ADJUST}::INT AS is_adjustment FROM cat""",
 )
 def name_flags(spark, sf_dir):
-    return R.flagged_names(R.column_catalog(retail(spark, sf_dir)))
+    return R.flagged_names(typed(spark, sf_dir))
 
 
 def _vocab(name: str, groups: dict) -> str:
@@ -180,7 +181,7 @@ def _vocab(name: str, groups: dict) -> str:
     + """ SELECT "column", vocabulary, rank, term, present FROM cat JOIN vo ON contains("column", term)""",
 )
 def vocab_match(spark, sf_dir):
-    hits = R.vocabulary_matches(R.column_catalog(retail(spark, sf_dir)), V.DASHBOARD_DOMAINS)
+    hits = R.vocabulary_matches(typed(spark, sf_dir), V.DASHBOARD_DOMAINS)
     return hits.select("column", "vocabulary", "rank", "term", "present")
 
 
@@ -253,7 +254,7 @@ _DOMAIN_ORDER = "CASE domain " + " ".join(
 FROM (SELECT * FROM dashboard_s UNION ALL SELECT * FROM analysis_s)""",
 )
 def domain_score(spark, sf_dir):
-    catalog = R.column_catalog(retail(spark, sf_dir))
+    catalog = typed(spark, sf_dir)
     first = R.domain_scores(catalog, V.DASHBOARD_DOMAINS).withColumn("rule_set", F.lit("dashboard"))
     second = R.domain_scores(catalog, V.ANALYSIS_DOMAINS, _METRICS_BY_DOMAIN).withColumn("rule_set", F.lit("analysis"))
     return first.unionByName(second).select("rule_set", "domain", "score", "rank")
@@ -299,7 +300,7 @@ def time_axis(spark, sf_dir):
     names = F.array(*[F.lit(m) for m in "jan fev mar abr mai jun jul ago set out nov dez".split()])
     month_name = F.concat(F.lit("01-"), F.element_at(names, F.month("o_orderdate")))
     month_only = orders.select(month_name.alias("mes"), F.col("o_orderpriority").alias("prioridade"))
-    axis = lambda df, source: R.time_axis(df, R.with_types(R.column_catalog(df))).select(
+    axis = lambda df, source: R.time_axis(df, R.profile(df)).select(
         F.lit(source).alias("source"), "columns", "ratio"
     )
     return (
@@ -364,9 +365,9 @@ def audit_findings(spark, sf_dir):
 )
 def audit_score(spark, sf_dir):
     rows = exported_lines(spark, sf_dir)
-    found = audit.audit_findings(rows, ["receita"], "vendas", _MEASURES)
-    score = quality.quality_score(rows, _MEASURES).select("score").scalar()
-    return audit.audit_score(found, score)
+    scored = settled(quality.quality_score(rows, _MEASURES))
+    found = audit.audit_findings(rows, ["receita"], "vendas", _MEASURES, scored=scored)
+    return audit.audit_score(found, scored)
 
 
 # ---- dashboard ------------------------------------------------------------
@@ -382,12 +383,19 @@ def _filtered_mart(spark, sf_dir, *columns: str):
 
 @query(
     "dashboard_filtered",
-    S.ctes(S.MART)
+    S.ctes(
+        S.MART,
+        f"fm AS (SELECT order_id, ship_ts, CAST(amount AS DOUBLE) AS amount, margin_rate, quantity, tax, supplier, product, segment FROM {_FILTERED})",
+        outlier_sql("fm", ["amount"]),
+        """qz AS (SELECT (SELECT count(*) FROM fm) AS n, (SELECT count(*) FROM fm) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fm)) AS dups,
+  (SELECT coalesce(sum(outliers), 0) FROM ob) AS outs)""",
+    )
     + f""" SELECT CAST(1 AS BIGINT) AS chart_order, 'monthly' AS chart, period AS label, round(CAST(sum(amount) AS DOUBLE), 4) AS value FROM {_FILTERED} GROUP BY period
 UNION ALL (SELECT 2, 'ranking_product_type', product_type, round(CAST(sum(amount) AS DOUBLE), 4) AS t FROM {_FILTERED} GROUP BY product_type ORDER BY t DESC, product_type LIMIT 8)
 UNION ALL (SELECT 3, 'margin_product_type', product_type, round(round(avg(margin_rate), 6), 4) AS t FROM {_FILTERED} GROUP BY product_type ORDER BY round(avg(margin_rate), 6) DESC, product_type LIMIT 8)
-UNION ALL SELECT 4, 'quality', indicator, value FROM (VALUES ('quality', 100.0::DOUBLE), ('missing_pct', 0.0), ('duplicate_pct', 0.0), ('outlier_pct', 0.0)) q(indicator, value)
-  WHERE EXISTS (SELECT 1 FROM lineitem)""",
+UNION ALL SELECT 4, 'quality', indicator, value FROM (
+  SELECT 'quality' AS indicator, CAST(greatest(0, round_even(100 - (round(least(25.0, dups / n * 25.0), 2) + round(least(10.0, outs / n * 10.0), 2)), 0)) AS DOUBLE) AS value FROM qz
+  UNION ALL SELECT 'missing_pct', 0.0 FROM qz UNION ALL SELECT 'duplicate_pct', round(dups / n * 100, 2) FROM qz UNION ALL SELECT 'outlier_pct', round(outs / n * 100, 2) FROM qz)""",
 )
 def dashboard_filtered(spark, sf_dir):
     columns = ("order_id", "ship_ts", "period", "amount", "segment", "product_type", "margin_rate", "quantity", "tax", "supplier", "product")

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from movara.plans.catalog import ORACLES, QUERIES  # noqa: E402
-from tests.oracle import connect, differences  # noqa: E402
+from tests.oracle import compare, connect  # noqa: E402
 
 
 def main() -> int:
@@ -31,15 +31,14 @@ def main() -> int:
         start = time.time()
         try:
             df = QUERIES[name](spark, sf_dir)
-            if name in ORACLES:
-                problems = differences(df, con, ORACLES[name])
-                note = f"{con.execute('SELECT count(*) FROM (' + ORACLES[name] + ')').fetchone()[0]} rows"
-            else:
-                problems, note = [], f"{len(df.collect())} rows (no SQL)"
+            rows = [tuple(r) for r in df.collect()]
+            spent = time.time() - start
+            problems = compare(df.columns, rows, con, ORACLES[name]) if name in ORACLES else []
+            note = f"{len(rows)} rows" + ("" if name in ORACLES else " (no SQL)")
         except Exception as error:  # noqa: BLE001
-            problems, note = [str(error)[:1500]], "error"
+            problems, note, spent = [str(error)[:1500]], "error", 0.0
         status = "FAIL" if problems else "ok"
-        print(f"{status:4} {name:24} {time.time() - start:6.2f}s {note}", flush=True)
+        print(f"{status:4} {name:24} {spent:6.2f}s +{time.time() - start - spent:5.2f}s {note}", flush=True)
         for line in problems:
             print("     ", line, flush=True)
         if problems:

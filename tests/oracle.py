@@ -43,13 +43,18 @@ def canonical(columns: list[str], rows) -> list[tuple]:
 
 def differences(spark_df, con, statement: str, limit: int = 4) -> list[str]:
     """Empty when names, types, row count and every value agree."""
+    collected = [tuple(r) for r in spark_df.collect()]
+    return compare(spark_df.columns, collected, con, statement, limit)
+
+
+def compare(columns: list[str], rows, con, statement: str, limit: int = 4) -> list[str]:
     result = con.execute(statement)
     names = [d[0] for d in result.description]
     oracle = canonical(names, result.fetchall())
-    ours = canonical(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    ours = canonical(columns, rows)
     problems = []
-    if sorted(names) != sorted(spark_df.columns):
-        problems.append(f"columns {sorted(spark_df.columns)} vs {sorted(names)}")
+    if sorted(names) != sorted(columns):
+        problems.append(f"columns {sorted(columns)} vs {sorted(names)}")
         return problems
     if len(ours) != len(oracle):
         problems.append(f"rows {len(ours)} vs {len(oracle)}")
