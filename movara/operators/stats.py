@@ -17,6 +17,7 @@ from movara.functions.columns import long_form, numeric_columns, round_to
 SKETCH_ACCURACY = 20000
 BRACKET = 0.001
 SMALL_COLUMN = 20000
+SKETCH_SHARDS = 512
 
 
 def per_column(df: DataFrame, columns: Iterable[str], measures) -> DataFrame:
@@ -88,9 +89,10 @@ def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[float]) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (column, q).
 
-    A mergeable sketch brackets each quantile; counts below the bracket and the ranks of
-    the few distinct values inside it then give the exact order statistics. No task
-    sorts more than the bracket (0.2 % of a large column's distinct values).
+    Sketches bracket each quantile; counts below the bracket and the ranks of the few
+    distinct values inside it then give the exact order statistics. Sketches are merged per
+    shard of input partitions, so no task merges the sketches of all tasks: the lowest lower
+    cut and the highest upper cut over the shards are a valid bracket for the whole column.
     """
     columns = list(columns)
     quantiles = [float(q) for q in quantiles]
@@ -107,7 +109,22 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[f
             "cuts": F.percentile_approx(v, probes, SKETCH_ACCURACY),
         }
 
-    sketch = per_column(df, columns, measures).where(F.col("n") > 0)
+    shard = F.pmod(F.spark_partition_id(), F.lit(SKETCH_SHARDS)).alias("_shard")
+    structs = [F.struct(F.lit(c).alias("column"), *[e.alias(n) for n, e in measures(c).items()]) for c in columns]
+    shards = df.select(*columns, shard).groupBy("_shard").agg(F.array(*structs).alias("rows"))
+    last = len(quantiles)
+    sketch = (
+        shards.select(F.inline("rows"))
+        .where(F.col("n") > 0)
+        .groupBy("column")
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("least").alias("least"),
+            F.max("most").alias("most"),
+            *[F.min(F.col("cuts")[i]).alias(f"low{i}") for i in range(last)],
+            *[F.max(F.col("cuts")[last + i]).alias(f"high{i}") for i in range(last)],
+        )
+    )
     small = F.col("n") < SMALL_COLUMN
 
     def bracket(i: int, q: float) -> Column:
@@ -115,8 +132,8 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[f
         open_high = small | F.lit(high[i] >= 1.0)
         return F.struct(
             F.lit(q).alias("q"),
-            F.when(open_low, F.col("least")).otherwise(F.col("cuts")[i]).alias("lo"),
-            F.when(open_high, F.col("most")).otherwise(F.col("cuts")[len(quantiles) + i]).alias("hi"),
+            F.when(open_low, F.col("least")).otherwise(F.col(f"low{i}")).alias("lo"),
+            F.when(open_high, F.col("most")).otherwise(F.col(f"high{i}")).alias("hi"),
             (F.lit(q) * (F.col("n") - 1)).alias("pos"),
         )
 
