@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from movara.functions.columns import first_match, long_form, ratio, round_to, settled, stacked
 from movara.functions.labels import concentration_level, direction
+from movara.functions.sharing import shared
 from movara.operators.periods import abnormal_periods, focus_movement, movements, period_metrics
 from movara.sources.mart import AnalysisSpec
 
@@ -120,7 +121,7 @@ def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8, series: Data
         series = settled(period_metrics(df, AnalysisSpec(metric=spec.metric, period=spec.period, supports={})))
     focus = focus_movement(movements(series))
     slots = period_slots(series, focus)
-    moves = entity_movements(entity_periods(df, spec), slots)
+    moves = shared(entity_movements(entity_periods(df, spec), slots))
     contributed = contributions(moves)
     totals = dimension_totals(contributed)
     recurrent = recurrence(moves, slots)

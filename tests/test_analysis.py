@@ -89,6 +89,15 @@ def test_contributors_and_alerts(prepared):
     assert "cost_up_volume_down" not in codes
 
 
+def test_checkpointed_entities_give_the_same_result(prepared, tmp_path, monkeypatch):
+    from movara.functions import sharing
+
+    plain = sorted(map(tuple, rootcause.contributors(prepared, STOCK).collect()))
+    monkeypatch.setattr(sharing, "checkpoint_dir", lambda spark: str(tmp_path))
+    assert sorted(map(tuple, rootcause.contributors(prepared, STOCK).collect())) == plain
+    assert any(tmp_path.iterdir())
+
+
 def test_cost_up_volume_down(spark):
     rows = [("2025-01", 1000.0, "A", 450.0, 200.0), ("2025-02", 980.0, "A", 460.0, 180.0), ("2025-03", 400.0, "A", 490.0, 120.0)]
     df = spark.createDataFrame(rows, "period string, amount double, produto string, custo double, volume double")
