@@ -155,7 +155,7 @@ def ingest_sniff(spark, sf_dir):
   CAST(text_cells AS INTEGER) AS text_cells, CAST(numeric_cells AS INTEGER) AS numeric_cells FROM (SELECT *, n - 1 AS header_index FROM hd)""",
 )
 def header_detect(spark, sf_dir):
-    headers = I.detect_headers(I.tabular_rows(document_lines(spark, sf_dir)))
+    headers = I.detect_headers(document_lines(spark, sf_dir))
     return headers.select(
         "file", "separator", "header_index", round_to("score").alias("score"), "confidence", "text_cells", "numeric_cells"
     )
@@ -167,8 +167,8 @@ def header_detect(spark, sf_dir):
     + " SELECT file, separator, raw_rows, rows, source_columns, columns, generic, round(table_score, 4) AS table_score FROM cand",
 )
 def ingest_candidate_score(spark, sf_dir):
-    rows = I.tabular_rows(document_lines(spark, sf_dir))
-    candidates = I.candidate_tables(rows, I.detect_headers(rows))
+    lines = document_lines(spark, sf_dir)
+    candidates = I.candidate_tables(I.tabular_rows(lines), I.detect_headers(lines))
     return candidates.select(
         "file", "separator", "raw_rows", "rows", "source_columns", "columns", "generic", round_to("table_score").alias("table_score")
     )
