@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.registry import query
+from movara.llm.simhash import near_copies
 
 
 def digest(column) -> F.Column:
@@ -31,3 +32,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.array_join("question_ids", ",")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(uploads(table(spark, sf_dir, "documents"))).select(
+        F.col("dataset_id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
