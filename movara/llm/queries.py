@@ -9,6 +9,7 @@ from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.registry import query
 from movara.llm.simhash import near_copies
+from movara.llm.vector_search import top_inner_products
 
 
 def digest(column) -> F.Column:
@@ -41,3 +42,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.c) = len(d.c)
+  WHERE q.vec_id % 20 = 0
+),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op10_exact_top_k", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector")
+    )
+    found = top_inner_products(vectors, vectors.where("vector_id % 20 = 0"), k=20, scale=64)
+    return found.select("query_id", "rank", F.col("vector_id").alias("vec_id"), "score")
