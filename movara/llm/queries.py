@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
+from movara.llm.mixing import mix_uploads
 from movara.llm.registry import query
+from movara.llm.shards import shard_uploads
 from movara.llm.simhash import near_copies
 from movara.llm.vector_search import top_inner_products
 
@@ -73,3 +75,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = top_inner_products(vectors, vectors.where("vector_id % 20 = 0"), k=20, scale=64)
     return found.select("query_id", "rank", F.col("vector_id").alias("vec_id"), "score")
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = uploads(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("content"), F.lit("")).cast("binary"))
+    return shard_uploads(documents.withColumn("text_crc32", crc), carry=("dataset_id", "text_crc32")).select(
+        F.col("dataset_id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_uploads(uploads(table(spark, sf_dir, "documents"))).select(
+        F.col("dataset_id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("times")).alias("taken"),
+    )
