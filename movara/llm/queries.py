@@ -9,8 +9,10 @@ from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.mixing import mix_uploads
 from movara.llm.registry import query
+from movara.llm.secrets import kind_count, scan_secrets, spelled
 from movara.llm.shards import shard_uploads
 from movara.llm.simhash import near_copies
+from movara.llm.url_filter import judge_urls
 from movara.llm.vector_search import top_inner_products
 
 
@@ -101,3 +103,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.col("times")).alias("taken"),
     )
+
+
+#: The rules of the url query.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query("op1_url_filters")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(uploads(table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("dataset_id").alias("doc_id"),
+        *[kind_count(F.col("certain"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        digest(spelled(F.col("certain"))).alias("base_sha256"),
+        spelled(F.array_sort(F.concat("certain", "linked"))).alias("spans"),
+    )
