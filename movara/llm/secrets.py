@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from movara.functions.columns import let
+
 #: The certain patterns, by kind, in order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -19,7 +21,7 @@ SHORTEST_VALUE = 6
 
 #: The weak parts.
 IDENTIFIER = (
-    r"""(?i)(?<![A-Za-z0-9_])(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|user(?:[_-]?name)?|login)["']?"""
+    r"""(?i)(?<![A-Za-z0-9_])(?:access[_-]?(?:key[_-]?)?id|client[_-]?id|account[_-]?id|user(?:[_-]?(?:name|id))?|login)["']?"""
     r"""\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}"""
 )
 WEAK_SECRET = (
@@ -41,6 +43,44 @@ SCOPE = 200
 
 SPAN = "struct<start: bigint, kind: int, end: bigint>"
 FAR = 1 << 60
+PARTS = ("identifier", "secret", "endpoint")
+#: Items of an array that are folded together.
+PIECE = 256
+
+
+def running(items: Column, zero: Column, state: str, step, emit, out: str) -> Column:
+    """Prefix scan of an array: ``emit(state, item)`` for each item with the state left by those before it.
+
+    The array is folded in pieces of ``PIECE`` items, so that the work stays in proportion to its length. ``state`` and
+    ``out`` are the types of the state and of what is emitted.
+    """
+
+    def over_pieces(pieces: Column) -> Column:
+        begun = F.aggregate(
+            pieces,
+            F.struct(zero.cast(state).alias("state"), F.array().cast(f"array<{state}>").alias("before")),
+            lambda done, piece: F.struct(
+                F.aggregate(piece, done["state"], step).alias("state"),
+                F.concat(done["before"], F.array(done["state"])).alias("before"),
+            ),
+            lambda done: done["before"],
+        )
+        emitted = lambda piece, first: F.aggregate(
+            piece,
+            F.struct(first.alias("state"), F.array().cast(f"array<{out}>").alias("out")),
+            lambda done, item: F.struct(
+                step(done["state"], item).alias("state"),
+                F.concat(done["out"], F.array(emit(done["state"], item))).alias("out"),
+            ),
+            lambda done: done["out"],
+        )
+        return let(begun, lambda before: F.flatten(F.transform(pieces, lambda piece, i: emitted(piece, F.get(before, i)))))
+
+    def cut(whole: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(whole) / PIECE).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.slice(whole, n * PIECE + 1, PIECE))
+
+    return let(items, lambda whole: let(cut(whole), over_pieces))
 
 
 def matches(content: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -50,26 +90,29 @@ def matches(content: Column, pattern: str, kind: str, keep=None) -> Column:
     """
     number = KINDS.index(kind) + 1
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    gaps = F.split(content, pattern, -1)
-    pieces = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), (keep(m) if keep else F.lit(True)).alias("kept")
-        ),
-    )
-    empty = F.array().cast(f"array<{SPAN}>")
 
-    def extended(so_far: Column, piece: Column) -> Column:
-        start = so_far["at"] + piece["gap"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + piece["size"]).alias("end"))
+    def piece(match: Column, gap: Column) -> Column:
         return F.struct(
-            (start + piece["size"]).alias("at"),
-            F.when(piece["kept"], F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).alias("spans"),
+            F.length(gap).cast("long").alias("gap"),
+            F.length(match).cast("long").alias("size"),
+            (keep(match) if keep else F.lit(True)).alias("kept"),
         )
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    spans = F.aggregate(pieces, zero, extended, lambda done: done["spans"])
-    return F.when(content.rlike(pattern), spans).otherwise(empty)
+    pieces = let(F.split(content, pattern, -1), lambda gaps: F.transform(found, lambda m, i: piece(m, F.get(gaps, i))))
+    spans = running(
+        pieces,
+        F.lit(0),
+        "bigint",
+        lambda at, x: at + x["gap"] + x["size"],
+        lambda at, x: F.struct(
+            (at + x["gap"]).alias("start"),
+            F.when(x["kept"], number).otherwise(0).alias("kind"),
+            (at + x["gap"] + x["size"]).alias("end"),
+        ),
+        SPAN,
+    )
+    empty = F.array().cast(f"array<{SPAN}>")
+    return F.when(content.rlike(pattern), F.filter(spans, lambda s: s["kind"] > 0)).otherwise(empty)
 
 
 def long_value(match: Column) -> Column:
@@ -82,27 +125,24 @@ def _role_is(kind: Column, role: str) -> Column:
 
 def _near(parts: Column, scope: int, back: bool) -> Column:
     """For each part in order: whether each role has a part within the scope before it (``back``: after it)."""
-    roles = ("identifier", "secret", "endpoint")
     away = F.lit(FAR if back else -FAR).cast("long")
-    edge = {r: f"{r}_edge" for r in roles}
-    zero = F.struct(*[away.alias(edge[r]) for r in roles], F.array().cast("array<struct<identifier: boolean, secret: boolean, endpoint: boolean>>").alias("near"))
-
-    def step(so_far: Column, part: Column) -> Column:
-        close = {
-            r: (so_far[edge[r]] <= part["end"] + scope) if back else (so_far[edge[r]] >= part["start"] - scope) for r in roles
-        }
-        moved = [
-            F.when(
-                _role_is(part["kind"], r),
-                F.least(so_far[edge[r]], part["start"]) if back else F.greatest(so_far[edge[r]], part["end"]),
-            )
-            .otherwise(so_far[edge[r]])
-            .alias(edge[r])
-            for r in roles
-        ]
-        return F.struct(*moved, F.concat(so_far["near"], F.array(F.struct(*[close[r].alias(r) for r in roles]))).alias("near"))
-
-    swept = F.aggregate(F.reverse(parts) if back else parts, zero, step, lambda done: done["near"])
+
+    def step(edges: Column, part: Column) -> Column:
+        edge = lambda r: F.least(edges[r], part["start"]) if back else F.greatest(edges[r], part["end"])
+        return F.struct(*[F.when(_role_is(part["kind"], r), edge(r)).otherwise(edges[r]).alias(r) for r in PARTS])
+
+    def close(edges: Column, part: Column) -> Column:
+        within = lambda r: edges[r] <= part["end"] + scope if back else edges[r] >= part["start"] - scope
+        return F.struct(*[within(r).alias(r) for r in PARTS])
+
+    swept = running(
+        F.reverse(parts) if back else parts,
+        F.struct(*[away.alias(r) for r in PARTS]),
+        f"struct<{', '.join(f'{r}: bigint' for r in PARTS)}>",
+        step,
+        close,
+        f"struct<{', '.join(f'{r}: boolean' for r in PARTS)}>",
+    )
     return F.reverse(swept) if back else swept
 
 
