@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.mixing import mix_uploads
+from movara.llm.quality_votes import fit_votes, score_uploads
 from movara.llm.registry import query
 from movara.llm.secrets import kind_count, scan_secrets, spelled
 from movara.llm.shards import shard_uploads
@@ -129,3 +130,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(spelled(F.col("certain"))).alias("base_sha256"),
         spelled(F.array_sort(F.concat("certain", "linked"))).alias("spans"),
     )
+
+
+def held_out(doc_id) -> F.Column:
+    """Rows that no quality model may learn from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str):
+    reviews = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("dataset_id"), F.col("quality").alias("accepted")
+    )
+    return fit_votes(uploads(documents), reviews.where(~held_out(F.col("dataset_id"))))
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = score_uploads(uploads(documents), quality_model(spark, documents, sf_dir))
+    return scored.select(
+        F.col("dataset_id").alias("doc_id"),
+        held_out(F.col("dataset_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
