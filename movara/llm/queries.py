@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
+from movara.llm.licences import scan_licences
 from movara.llm.mixing import mix_uploads
 from movara.llm.quality_votes import fit_votes, score_uploads
 from movara.llm.registry import query
@@ -154,3 +155,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op9_licences")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licences(uploads(table(spark, sf_dir, "documents")))
+    said = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c)["label"])), ",")
+    return found.select(
+        F.col("dataset_id").alias("doc_id"),
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(F.col("phrases")["start"]).alias("first_word"),
+        F.array_max(F.col("phrases")["start"]).alias("last_word"),
+        said("phrases").alias("base_labels"),
+        said("licences").alias("labels"),
+        "score",
+    )
