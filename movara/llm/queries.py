@@ -9,6 +9,8 @@ from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.licences import scan_licences
 from movara.llm.mixing import mix_uploads
+from movara.llm.personal_data import KINDS as PERSONAL
+from movara.llm.personal_data import scan_personal_data
 from movara.llm.quality_votes import fit_votes, score_uploads
 from movara.llm.registry import query
 from movara.llm.secrets import kind_count, scan_secrets, spelled
@@ -171,3 +173,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         said("licences").alias("labels"),
         "score",
     )
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_personal_data(uploads(table(spark, sf_dir, "documents")))
+    names = F.array(*[F.lit(k) for k in (*PERSONAL, *[f"likely_{k}" for k in PERSONAL])])
+    # the model's kinds are listed after the certain ones
+    likely = F.transform("likely", lambda s: s.withField("kind", s["kind"] + len(PERSONAL)))
+    spell = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter("certain", lambda s: s["kind"] == PERSONAL.index(kind))).cast("long")
+    return found.select(
+        F.col("dataset_id").alias("doc_id"),
+        *[count(k).alias(f"n_{k}") for k in PERSONAL],
+        digest(spell(F.col("certain"))).alias("base_sha256"),
+        spell(F.array_sort(F.concat("certain", likely))).alias("spans"),
+    )
