@@ -16,7 +16,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movara.llm.common import map_content
+from movara.llm.common import hashed_sample, map_content
 from movara.llm.tagger import Tagger, codes, train
 
 KINDS = ("email", "ip", "card", "phone")
@@ -153,15 +153,14 @@ def labelled_windows(excerpts: list[str], count: int, rng: np.random.Generator)
 
 def excerpts_of(uploads: DataFrame) -> list[str]:
     """A bounded, hashed sample of excerpts, the same for the same uploads."""
-    order = F.xxhash64("dataset_id", "content")
+    place = F.xxhash64("dataset_id", "content")
     room = F.greatest(F.length("content") - EXCERPT, F.lit(0)) + 1
-    rows = (
-        uploads.where("content is not null and content <> ''")
-        .select(order.alias("place"), F.substring(F.col("content"), F.pmod(order, room).cast("int") + 1, F.lit(EXCERPT)).alias("excerpt"))
-        .orderBy("place", "excerpt")
-        .limit(EXCERPTS)
-        .collect()
-    )
+    excerpt = F.substring(F.col("content"), F.pmod(place, room).cast("int") + 1, F.lit(EXCERPT))
+    rows = hashed_sample(
+        uploads.where("content is not null and content <> ''").select(place.alias("place"), excerpt.alias("excerpt")),
+        F.col("place"),
+        EXCERPTS,
+    ).collect()
     return [r["excerpt"] for r in rows]
 
 

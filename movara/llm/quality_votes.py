@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movara.llm.common import map_content
+from movara.llm.common import hashed_sample, map_content, saved
 
 FEATURES = 4096
 #: Reviewed uploads that the model is fitted on, at most.
@@ -168,14 +168,13 @@ def fit_votes(uploads: DataFrame, reviews: DataFrame, sample: int = SAMPLE, axes
     the axes and the labelled vectors; only their feature counts reach the driver. Reviews without id or label are
     ignored; of several for one upload the highest counts, of several rows with one id any single one.
     """
-    chosen = (
+    reviewed = (
         reviews.where("dataset_id is not null and accepted is not null")
         .groupBy("dataset_id")
         .agg(F.max("accepted").cast("int").alias("accepted"))
         .join(uploads.select("dataset_id").distinct(), "dataset_id", "left_semi")
-        .orderBy(F.xxhash64("dataset_id"), "dataset_id")
-        .limit(sample)
     )
+    chosen = hashed_sample(saved(reviewed), F.xxhash64("dataset_id"), sample)
 
     def start():
         count = Counting()
@@ -186,9 +185,9 @@ def fit_votes(uploads: DataFrame, reviews: DataFrame, sample: int = SAMPLE, axes
 
         return step
 
-    reviewed = uploads.join(F.broadcast(chosen), "dataset_id").select("dataset_id", "accepted", "content")
+    texts = uploads.join(F.broadcast(chosen), "dataset_id").select("dataset_id", "accepted", "content")
     rows = (
-        map_content(reviewed, ("dataset_id", "accepted"), "found array<int>, counts array<double>", start)
+        map_content(texts, ("dataset_id", "accepted"), "found array<int>, counts array<double>", start)
         .groupBy("dataset_id", "accepted")
         .agg(F.min(F.struct("found", "counts")).alias("features"))
         .orderBy(F.xxhash64("dataset_id"))
