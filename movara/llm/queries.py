@@ -16,7 +16,7 @@ from movara.llm.registry import query
 from movara.llm.secrets import kind_count, scan_secrets, spelled
 from movara.llm.shards import shard_uploads
 from movara.llm.simhash import near_copies
-from movara.llm.url_filter import judge_urls
+from movara.llm.url_filter import DEPTH, DIFFERENT, REJECTED, SMOOTHING, VARIABLE, judge_urls
 from movara.llm.vector_search import top_inner_products
 
 
@@ -30,7 +30,39 @@ def test_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_decontamination")
+OP2_SQL = r"""
+WITH i AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+),
+p AS (
+  SELECT DISTINCT id, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS words
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+),
+d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+),
+o AS (
+  SELECT c.k, c.s, c.n, p.id
+  FROM (
+    SELECT k, n, s, array_to_string(w[s : s + n - 1], ' ') AS words
+    FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p))
+  ) c JOIN p ON c.n = p.n AND c.words = p.words
+),
+h AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS place FROM o) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, id FROM o) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+"""
+
+
+@query("op2_decontamination", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(uploads(table(spark, sf_dir, "documents")), test_questions(spark, sf_dir))
     return found.select(
@@ -119,7 +151,63 @@ URL_RULES = [
 ]
 
 
-@query("op1_url_filters")
+def url_sql(rules: list[tuple[str, str]]) -> str:
+    """The same rules and path tree as statements, one step a level."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rule, says = "NULL", "NULL"
+    for verdict, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
+        domain, _, prefix = text.partition("/")
+        fits = f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{prefix}')"
+        rule, says = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
+    stem, ending = (f"regexp_extract(x, '(?s)^(.+?)(\\.[A-Za-z]{{1,5}})?$', {n})" for n in (1, 2))
+    classed = f"""CASE WHEN regexp_matches({stem}, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?$') THEN concat('{{date}}', {ending})
+      WHEN regexp_matches({stem}, '^[0-9]+$') THEN concat('{{number}}', {ending})
+      WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches({stem}, '[0-9]') THEN concat('{{hex}}', {ending})
+      WHEN regexp_matches({stem}, '^[^.]{{16,}}$') AND regexp_matches({stem}, '[0-9]') THEN concat('{{slug}}', {ending})
+      ELSE x END"""
+    steps = [
+        f"""u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+w AS (SELECT *, {rule} AS rule, {says} AS says, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM v),
+r AS (SELECT page_id, host, path, rule, says,
+             list_concat(list_transform(parts[1:{DEPTH}], lambda x: {classed}),
+                         CASE WHEN len(parts) > {DEPTH} THEN ['**'] ELSE [] END) AS segments FROM w),
+p0 AS (SELECT host, segments, count(says) AS labelled, count(*) FILTER (says = 'block') AS blocked, '' AS template
+       FROM r GROUP BY host, segments)"""
+    ]
+    for level in range(1, DEPTH + 2):
+        a, b = f"p{level - 1}", f"p{level}"
+        own, rest = "b.blocked / b.labelled", "(n.blocked - b.blocked) / (n.labelled - b.labelled)"
+        spread = "sqrt((n.blocked / n.labelled) * (1 - n.blocked / n.labelled) * (1.0 / b.labelled + 1.0 / (n.labelled - b.labelled)))"
+        both = "(b.labelled > 0 AND n.labelled > b.labelled)"
+        steps.append(
+            f"""b{level} AS (SELECT host, template, segments[{level}] AS segment, sum(labelled) AS labelled, sum(blocked) AS blocked
+      FROM {a} WHERE len(segments) >= {level} GROUP BY ALL),
+n{level} AS (SELECT host, template, count(*) AS fanout, sum(labelled) AS labelled, sum(blocked) AS blocked FROM b{level} GROUP BY ALL),
+{b} AS (SELECT p.host, p.segments, p.labelled, p.blocked,
+             CASE WHEN len(p.segments) < {level} THEN p.template
+                  WHEN n.fanout > 1 AND (n.fanout >= {VARIABLE} OR {both})
+                       AND NOT ({both} AND coalesce(abs({own} - {rest}) > {DIFFERENT}::DOUBLE * {spread}, false))
+                  THEN concat(p.template, '/*') ELSE concat(p.template, '/', b.segment) END AS template
+      FROM {a} p LEFT JOIN b{level} b ON p.host = b.host AND p.template = b.template AND p.segments[{level}] = b.segment
+                 LEFT JOIN n{level} n ON p.host = n.host AND p.template = n.template)"""
+        )
+    last, k = f"p{DEPTH + 1}", f"{SMOOTHING}::DOUBLE"
+    steps.append(
+        f"""g AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0.0) AS rate FROM {last}),
+h AS (SELECT host, (sum(blocked) + {k} * any_value(rate)) / (sum(labelled) + {k}) AS rate FROM {last}, g GROUP BY host),
+t AS (SELECT x.host, template, (sum(blocked) + {k} * any_value(rate)) / (sum(labelled) + {k}) AS purity
+      FROM {last} x JOIN h USING (host) GROUP BY x.host, template)
+SELECT r.page_id, r.host, r.path, r.rule,
+       coalesce(r.says, CASE WHEN purity >= {REJECTED}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, p.template AS template, purity
+FROM r JOIN {last} p ON r.host = p.host AND r.segments = p.segments JOIN t ON t.host = p.host AND t.template = p.template"""
+    )
+    return "WITH " + ",\n".join(steps[:-1]) + ",\n" + steps[-1]
+
+
+@query("op1_url_filters", url_sql(URL_RULES))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
