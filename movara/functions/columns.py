@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,22 +66,32 @@ def stacked(names: Iterable[str], *rows: tuple) -> Column:
     return F.inline(F.array(*structs))
 
 
-def exact_sum(value) -> Column:
-    """Order-independent sum: the same double whatever the partitioning."""
-    return F.sum(as_col(value).cast("decimal(38,10)"))
+#: Magnitude below which sums are exact; beyond it a plain double sum is as good.
+EXACT_BELOW = 1e28
 
 
-def let(value, build) -> Column:
-    """``build(value)`` with the value evaluated once per row, however often it is used."""
-    return F.get(F.transform(F.array(as_col(value)), build), F.lit(0))
+def exact_sum(value, over: WindowSpec | None = None) -> Column:
+    """Order-independent sum as a double: the same whatever the partitioning, without a fixed number of decimals.
 
+    Whole parts and fractions are summed apart, so that neither tiny nor huge values lose digits or overflow. ``over`` makes
+    it a window function.
+    """
+    number = as_col(value).cast("double")
+    whole = F.rint(number)
+    placed = lambda c: c.over(over) if over is not None else c
+    exact = placed(F.try_sum(whole.try_cast("decimal(38,0)"))).cast("double") + placed(
+        F.try_sum((number - whole).try_cast("decimal(38,18)"))
+    ).cast("double")
+    return F.when(placed(F.max(F.abs(number))) < EXACT_BELOW, exact).otherwise(placed(F.sum(number)))
 
-def settled(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A small result computed once and reused as a local table.
 
-    Only for frames bounded by the schema or the calendar (one row per column, month or
-    table): evidence that several later steps read must not rescan the facts each time.
-    A frame larger than ``most_rows`` is returned as the lazy plan it was.
-    """
-    rows = df.limit(most_rows + 1).collect()
-    return df if len(rows) > most_rows else df.sparkSession.createDataFrame(rows, df.schema)
+def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN read as missing in the given (else all) floating-point columns."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    chosen = [c for c in floating if not columns or c in columns]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in chosen}) if chosen else df
+
+
+def let(value, build) -> Column:
+    """``build(value)`` with the value evaluated once per row, however often it is used."""
+    return F.get(F.transform(F.array(as_col(value)), build), F.lit(0))

@@ -1,4 +1,4 @@
-"""Cutting the lineage of a frame that several branches of one plan read."""
+"""Keeping a frame that several branches of one plan read."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so branches never recompute the facts.
+    """The frame computed once for all branches that read it.
 
-    Without such a folder the frame stays lazy and branches rely on exchange reuse; no
-    machine-local folder is ever chosen here.
+    A reliable checkpoint in the cluster's shared folder; without such a folder the frame is persisted on the
+    executors, which compute lost parts again. No machine-local folder is ever chosen here.
     """
     folder = checkpoint_dir(df.sparkSession)
     if not folder:
-        return df
+        return df.persist()
     df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, numeric_columns, round_to, settled
+from movara.functions.columns import first_match, numeric_columns, round_to
 from movara.functions.names import is_identifier, is_noise
 from movara.functions.text import normalize_name
+from movara.functions.sharing import shared
 from movara.operators import quality, roles, stats
 from movara.operators.vocabulary import AUDIT_NEGATIVE_ALLOWED, BUSINESS_VALUE_TERMS, DATED_DOMAINS
 
@@ -42,7 +43,7 @@ def audit_findings(
     """Every fired rule with its severity and measure; each rule is a select over one-row evidence."""
     metrics = list(metrics)
     numeric = list(numeric or numeric_columns(df))
-    scored = settled(quality.quality_score(df, numeric)) if scored is None else scored
+    scored = shared(quality.quality_score(df, numeric)) if scored is None else scored
     typed = roles.profile(df)
     evidence = typed.agg(
         F.count_if(F.col("type") == "datetime").alias("dates"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, ratio, round_to, settled, stacked
+from movara.functions.columns import first_match, ratio, round_to, stacked
 from movara.functions.labels import score_tone
+from movara.functions.sharing import shared
 from movara.operators import periods, quality, rank, stats
 
 
@@ -115,7 +116,7 @@ def dashboard(
             charts.append(shaped(means, len(charts) + 1, f"margin_{dimension}", "name", "mean"))
             break
     if len(charts) < 5:
-        rates = quality.quality_rates(settled(quality.quality_score(rows, numeric)))
+        rates = quality.quality_rates(shared(quality.quality_score(rows, numeric)))
         charts.append(shaped(rates, len(charts) + 1, "quality", "indicator", "value"))
     result = charts[0]
     for chart in charts[1:5]:

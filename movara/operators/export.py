@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import round_to, settled, stacked
+from movara.functions.columns import round_to, stacked
 from movara.functions.dates import month_period, period_month, period_year
+from movara.functions.sharing import shared
 from movara.operators import periods, rank, rootcause, stats
 from movara.sources.mart import AnalysisSpec
 
@@ -39,7 +40,7 @@ def monthly_rows(series: DataFrame, spec: AnalysisSpec, months: int = 18) -> Dat
 
 
 def _analysis(df: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, DataFrame]:
-    series = settled(periods.monthly_sum(df, spec.metric, spec.period))
+    series = shared(periods.monthly_sum(df, spec.metric, spec.period))
     return periods.focus_movement(periods.movements(series)), rootcause.contributors(df, spec, series=series)
 
 

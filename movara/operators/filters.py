@@ -29,7 +29,7 @@ def categories(df: DataFrame, selected: dict[str, list[str]]) -> Column:
     for column, values in selected.items():
         chosen = [str(v) for v in values if str(v).strip()]
         if column in df.columns and chosen:
-            keep = keep & F.coalesce(F.col(column).cast("string").isin(*chosen), F.lit(False))
+            keep = keep & F.col(column).cast("string").isin(*chosen)
     return keep
 
 
@@ -39,7 +39,7 @@ def filter_report(df: DataFrame, *conditions: Column) -> DataFrame:
         passed = passed & condition
     return df.agg(
         F.count("*").alias("rows_before"),
-        F.count_if(passed).alias("rows_after"),
+        F.count_if(F.coalesce(passed, F.lit(False))).alias("rows_after"),
         F.lit(len(conditions)).cast("bigint").alias("filters_applied"),
     )
 

@@ -54,7 +54,7 @@ def with_history(series: DataFrame) -> DataFrame:
     """Mean, sample deviation and z-score against all earlier months."""
     earlier = by_period().rowsBetween(Window.unboundedPreceding, -1)
     seen = F.count("value").over(earlier)
-    mean = F.when(seen >= 2, exact_sum("value").over(earlier).cast("double") / seen)
+    mean = F.when(seen >= 2, exact_sum("value", earlier) / seen)
     std = F.when(seen >= 3, F.stddev_samp("value").over(earlier))
     return (
         series.withColumn("hist_mean", mean)
@@ -69,7 +69,7 @@ def movements(series: DataFrame) -> DataFrame:
 
 def with_moving_average(series: DataFrame, rows: int = 3) -> DataFrame:
     frame = by_period().rowsBetween(1 - rows, 0)
-    mean = exact_sum("value").over(frame).cast("double") / F.count("value").over(frame)
+    mean = exact_sum("value", frame) / F.count("value").over(frame)
     return series.withColumn("moving_avg", mean)
 
 
@@ -149,7 +149,7 @@ def last_three_months(series: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("age") <= 3, F.col("value"))).alias("last3"),
         F.coalesce(F.sum(F.when(F.col("age") > 3, F.col("value"))), F.lit(0.0)).alias("prev3"),
         F.try_divide(
-            exact_sum(F.when(F.col("age") <= 3, F.col("value"))).cast("double"), F.count_if(F.col("age") <= 3)
+            exact_sum(F.when(F.col("age") <= 3, F.col("value"))), F.count_if(F.col("age") <= 3)
         ).alias("avg3"),
         F.max(F.when(F.col("age") == 1, F.col("value"))).alias("latest_value"),
     )
@@ -272,7 +272,7 @@ def slice_summary(series: DataFrame, year: int, first_month: int, last_month: in
     delta_rows = F.col("delta").isNotNull()
     summary = rows.agg(
         F.sum("value").alias("total"),
-        F.try_divide(exact_sum("value").cast("double"), F.count("value")).alias("monthly_mean"),
+        F.try_divide(exact_sum("value"), F.count("value")).alias("monthly_mean"),
         F.min_by("period", value_desc).alias("best_period"),
         F.min_by("period", F.struct("value", "period")).alias("worst_period"),
         F.min_by("period", F.when(delta_rows, F.struct(-F.col("delta"), F.col("period")))).alias("rise_period"),

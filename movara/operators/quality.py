@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, long_form, numeric_columns, round_to, stacked
+from movara.functions.columns import exact_sum, first_match, long_form, nan_to_null, numeric_columns, round_to, stacked
+from movara.functions.sharing import shared
 from movara.functions.labels import quality_label
 from movara.operators.stats import duplicate_rows, missing_summary, per_column, quantile_table
 
@@ -28,7 +29,8 @@ def outlier_bounds(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
     times or a fifth of its median. Columns with no interquartile spread are skipped.
     """
     columns = list(columns or numeric_columns(df))
-    quartiles = quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    df = nan_to_null(df, *columns)
+    quartiles = shared(quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     spread = F.col("q3") - F.col("q1")
     bounds = quartiles.where(spread != 0).select(
         "column",
@@ -45,7 +47,7 @@ def outlier_bounds(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
         v, b = F.col(c).cast("double"), F.col("_bounds")[c]
         return {
             "n": F.count(v),
-            "mean": F.try_divide(F.sum(F.col(c).cast("decimal(28,4)")).cast("double"), F.count(v)),
+            "mean": F.try_divide(exact_sum(c), F.count(v)),
             "iqr_count": F.count_if((v < b["low"]) | (v > b["high"])),
             "ratio_count": F.count_if((v < b["low5"]) | (v > b["high5"])),
         }
@@ -76,7 +78,8 @@ def outlier_details(
 ) -> DataFrame:
     """The strongest outliers per column, then overall, identified by the caller's row key."""
     columns = list(columns or numeric_columns(df))
-    bounds = outlier_counts(df, columns)
+    df = nan_to_null(df, *columns)
+    bounds = shared(outlier_counts(df, columns))
     lookup = _bounds_map(bounds, ["low", "high"])
     outside = lambda c: (F.col(c) < F.col("_b")[c]["low"]) | (F.col(c) > F.col("_b")[c]["high"])
     flagged = df.select(F.col(key).alias("row_key"), *[F.col(c).cast("double").alias(c) for c in columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movara.functions.columns import first_match, round_to, settled
+from movara.functions.columns import exact_sum, first_match, round_to
 from movara.functions.dates import UNIX_SECONDS, parse_date, parse_period, parse_unix, year_month_date, year_number
 from movara.functions.names import (
     ADJUSTMENT_TERMS,
@@ -24,6 +24,7 @@ from movara.functions.names import (
     whole_word_col,
 )
 from movara.functions.text import normalize, normalize_name
+from movara.functions.sharing import shared
 from movara.operators.stats import per_column
 from movara.operators.vocabulary import (
     DATE_NAME_TERMS,
@@ -125,7 +126,7 @@ def column_catalog(df: DataFrame) -> DataFrame:
 
     def measures(c: str) -> dict[str, Column]:
         number = F.col(c).cast("double") if classes[c] == "numeric" else F.lit(None).cast("double")
-        total = lambda v: F.coalesce(F.sum(v.cast("decimal(28,4)")).cast("double"), F.lit(0.0))
+        total = lambda v: F.coalesce(exact_sum(v), F.lit(0.0))
         return {
             "position": F.lit(position[c]),
             "class": F.lit(classes[c]),
@@ -202,7 +203,7 @@ def date_candidates(typed: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """Typed catalog of a table, computed in one pass and settled (one row per column)."""
-    return settled(with_types(column_catalog(df)))
+    return shared(with_types(column_catalog(df)))
 
 
 def flagged_names(catalog: DataFrame) -> DataFrame:

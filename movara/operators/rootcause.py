@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import first_match, long_form, ratio, round_to, settled, stacked
+from movara.functions.columns import exact_sum, first_match, long_form, ratio, round_to, stacked
 from movara.functions.labels import concentration_level, direction
 from movara.functions.sharing import shared
 from movara.operators.periods import abnormal_periods, focus_movement, movements, period_metrics
@@ -62,7 +62,7 @@ def entity_movements(entities: DataFrame, slots: DataFrame) -> DataFrame:
     placed = entities.join(slots, "period", "left")
     return placed.groupBy("dimension", "name").agg(
         *[F.coalesce(slot_sum(i), F.lit(0.0)).alias(f"v{i}") for i in range(4)],
-        F.avg("value").alias("hist_mean"),
+        (exact_sum("value") / F.count("value")).alias("hist_mean"),
         F.count_if(F.col("slot") <= 1).alias("observed"),
     )
 
@@ -118,7 +118,7 @@ def recurrence(moves: DataFrame, slots: DataFrame, top: int = 3, minimum: int =
 def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8, series: DataFrame | None = None) -> DataFrame:
     """Top contributors of every dimension to the focus movement, with shares, history and recurrence."""
     if series is None:
-        series = settled(period_metrics(df, AnalysisSpec(metric=spec.metric, period=spec.period, supports={})))
+        series = shared(period_metrics(df, AnalysisSpec(metric=spec.metric, period=spec.period, supports={})))
     focus = focus_movement(movements(series))
     slots = period_slots(series, focus)
     moves = shared(entity_movements(entity_periods(df, spec), slots))
@@ -148,7 +148,7 @@ def contributors(df: DataFrame, spec: AnalysisSpec, limit: int = 8, series: Data
         F.when(F.col("appearances").isNotNull(), "recurrent").otherwise("one_off").alias("recurrence"),
     )
     rounded = [round_to(c).alias(c) if c in ROUNDED else F.col(c) for c in detailed.columns]
-    return settled(detailed.select(*rounded))
+    return shared(detailed.select(*rounded))
 
 
 def impact_ranking(top: DataFrame, per_dimension: int = 5, limit: int = 12) -> DataFrame:
@@ -159,9 +159,18 @@ def impact_ranking(top: DataFrame, per_dimension: int = 5, limit: int = 12) -> D
     return best.withColumn("impact_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
+def in_month(spec: AnalysisSpec, period: Column) -> Column:
+    """Rows of one month (a scalar ``yyyy-MM``): a half-open range of dates where the date column is there."""
+    if spec.date is None:
+        return F.col(spec.period) == period
+    first = F.to_date(F.concat(period, F.lit("-01")))
+    date = F.col(spec.date)
+    return (date >= first.cast("timestamp_ntz")) & (date < F.add_months(first, 1).cast("timestamp_ntz"))
+
+
 def contributor_context(df: DataFrame, spec: AnalysisSpec, top: DataFrame, focus: DataFrame) -> DataFrame:
     """For each contributor, the leading value of up to three other dimensions in the focus month."""
-    month = df.where((F.col(spec.period) == focus.select("period").scalar()) & F.col(spec.metric).isNotNull())
+    month = df.where(in_month(spec, focus.select("period").scalar()) & F.col(spec.metric).isNotNull())
     options = []
     for dim in spec.dimensions:
         others = [d for d in spec.dimensions if d != dim][:3]
@@ -279,7 +288,7 @@ def quick_evidence(df: DataFrame, spec: AnalysisSpec, focus: DataFrame, limit: i
     valid = df.where(F.col(spec.metric).isNotNull() & F.col(dim).isNotNull())
 
     def totals(period: Column, alias: str) -> DataFrame:
-        rows = valid.where(F.col(spec.period) == period)
+        rows = valid.where(in_month(spec, period))
         return rows.groupBy(F.col(dim).cast("string").alias("name")).agg(
             F.sum(spec.metric).cast("double").alias(alias)
         )

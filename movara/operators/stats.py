@@ -12,12 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from movara.functions.columns import long_form, numeric_columns, round_to
+from movara.functions.columns import exact_sum, long_form, nan_to_null, numeric_columns, round_to
 
-SKETCH_ACCURACY = 20000
-BRACKET = 0.001
-SMALL_COLUMN = 20000
-SKETCH_SHARDS = 512
+SKETCH_ACCURACY = 4000
+BRACKET = 0.002
+SKETCH_SHARDS = 16
+BINS = 1024
 
 
 def per_column(df: DataFrame, columns: Iterable[str], measures) -> DataFrame:
@@ -35,7 +35,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     return per_column(
-        df, df.columns, lambda c: {"missing": F.count_if(F.col(c).isNull()), "rows": F.count("*")}
+        nan_to_null(df), df.columns, lambda c: {"missing": F.count_if(F.col(c).isNull()), "rows": F.count("*")}
     ).select("column", "missing", (F.col("missing") == F.col("rows")).cast("int").alias("empty"))
 
 
@@ -66,7 +66,7 @@ def numeric_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
 
     def measures(c: str) -> dict[str, Column]:
         v = F.col(c).cast("double")
-        total = F.sum(F.col(c).cast("decimal(28,4)")).cast("double")
+        total = exact_sum(v)
         return {
             "count": F.count(v),
             "sum": round_to(total),
@@ -77,7 +77,8 @@ def numeric_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
             "zero_rate": round_to(F.try_divide(F.count_if(v == 0), F.count(v))),
         }
 
-    return per_column(df, columns or numeric_columns(df), measures).where(F.col("count") > 0)
+    columns = list(columns or numeric_columns(df))
+    return per_column(nan_to_null(df, *columns), columns, measures).where(F.col("count") > 0)
 
 
 def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -89,12 +90,12 @@ def value_counts(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[float]) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (column, q).
 
-    Sketches bracket each quantile; counts below the bracket and the ranks of the few
-    distinct values inside it then give the exact order statistics. Sketches are merged per
-    shard of input partitions, so no task merges the sketches of all tasks: the lowest lower
-    cut and the highest upper cut over the shards are a valid bracket for the whole column.
+    Sketches bracket each quantile: rows are dealt to a few shards one by one, so that ordered input spreads too, and
+    the lowest lower cut and highest upper cut over the shards hold the quantile of the whole column. The
+    distinct values inside are counted by bin, and only the bins that the wanted ranks fall into are ordered.
     """
     columns = list(columns)
+    df = nan_to_null(df, *columns)
     quantiles = [float(q) for q in quantiles]
     low = [max(q - BRACKET, 0.0) for q in quantiles]
     high = [min(q + BRACKET, 1.0) for q in quantiles]
@@ -109,7 +110,7 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[f
             "cuts": F.percentile_approx(v, probes, SKETCH_ACCURACY),
         }
 
-    shard = F.pmod(F.spark_partition_id(), F.lit(SKETCH_SHARDS)).alias("_shard")
+    shard = F.pmod(F.monotonically_increasing_id(), F.lit(SKETCH_SHARDS)).alias("_shard")
     structs = [F.struct(F.lit(c).alias("column"), *[e.alias(n) for n, e in measures(c).items()]) for c in columns]
     shards = df.select(*columns, shard).groupBy("_shard").agg(F.array(*structs).alias("rows"))
     last = len(quantiles)
@@ -125,11 +126,11 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[f
             *[F.max(F.col("cuts")[last + i]).alias(f"high{i}") for i in range(last)],
         )
     )
-    small = F.col("n") < SMALL_COLUMN
+    few = F.col("n") * BRACKET < 1  # the bracket is narrower than one row there
 
     def bracket(i: int, q: float) -> Column:
-        open_low = small | F.lit(low[i] <= 0.0)
-        open_high = small | F.lit(high[i] >= 1.0)
+        open_low = few | F.lit(low[i] <= 0.0)
+        open_high = few | F.lit(high[i] >= 1.0)
         return F.struct(
             F.lit(q).alias("q"),
             F.when(open_low, F.col("least")).otherwise(F.col(f"low{i}")).alias("lo"),
@@ -144,10 +145,21 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], quantiles: Iterable[f
     below = counts.groupBy("column", "q").agg(
         F.sum(F.when(F.col("value") < F.col("lo"), F.col("copies")).otherwise(0)).alias("below")
     )
-    inside = counts.where(F.col("value").between(F.col("lo"), F.col("hi"))).join(below, ["column", "q"])
-    upto = Window.partitionBy("column", "q").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("end", F.col("below") + F.sum("copies").over(upto)).withColumn(
-        "start", F.col("end") - F.col("copies")
+    width = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    inside = counts.where(F.col("value").between(F.col("lo"), F.col("hi"))).withColumn(
+        "bin", F.coalesce(F.floor(width * BINS), F.lit(0))
+    )
+    filled = inside.groupBy("column", "q", "bin").agg(F.sum("copies").alias("held"), F.max("pos").alias("pos"))
+    in_order = Window.partitionBy("column", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    reached = filled.join(below, ["column", "q"]).withColumn("end", F.col("below") + F.sum("held").over(in_order))
+    wanted = reached.where((F.col("end") > F.floor("pos")) & (F.col("end") - F.col("held") <= F.ceil("pos"))).select(
+        "column", "q", "bin", (F.col("end") - F.col("held")).alias("earlier")
+    )
+    upto = Window.partitionBy("column", "q", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        inside.join(wanted, ["column", "q", "bin"])
+        .withColumn("end", F.col("earlier") + F.sum("copies").over(upto))
+        .withColumn("start", F.col("end") - F.col("copies"))
     )
     floor, ceil = F.floor("pos"), F.ceil("pos")
     holds = lambda rank: (F.col("start") <= rank) & (rank < F.col("end"))
@@ -169,6 +181,7 @@ def quantile_table(df: DataFrame, columns: Iterable[str], quantiles: dict[str, f
 def numeric_summary(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per numeric column."""
     columns = list(columns or numeric_columns(df))
+    df = nan_to_null(df, *columns)
 
     def measures(c: str) -> dict[str, Column]:
         v = F.col(c).cast("double")

@@ -1,29 +1,30 @@
-"""Root-cause queries over the closed months of the sales mart."""
+"""Root-cause queries over all months of the sales mart."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movara.functions.columns import round_to, settled
+from movara.functions.columns import exact_sum, round_to
+from movara.functions.sharing import shared
 from movara.operators import periods as P
 from movara.operators import rootcause as R
 from movara.plans import sql as S
 from movara.plans.registry import query
 from movara.sources.mart import AnalysisSpec, sales_mart
 
-SPEC = AnalysisSpec()
+SPEC = AnalysisSpec(date="ship_ts")
 
 
 def mart(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    return sales_mart(spark, sf_dir, "period", "amount", *SPEC.dimensions, *extra, until=S.UNTIL)
+    return sales_mart(spark, sf_dir, "period", "amount", "ship_ts", *SPEC.dimensions, *extra)
 
 
 def closed_series(spark, sf_dir, supports: bool = False) -> DataFrame:
     if supports:
-        rows = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns, until=S.UNTIL)
-        return settled(P.period_metrics(rows, SPEC))
-    return settled(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=S.UNTIL), "amount"))
+        rows = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns)
+        return shared(P.period_metrics(rows, SPEC))
+    return shared(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount"), "amount"))
 
 
 def focus_row(spark, sf_dir) -> DataFrame:
@@ -74,7 +75,7 @@ def contrib_outer(spark, sf_dir):
 FROM cur c JOIN prv p USING (dimension, name) WHERE dimension = 'product_type' ORDER BY abs(c.value - p.value) DESC, c.name LIMIT 3""",
 )
 def contrib_inner(spark, sf_dir):
-    rows = sales_mart(spark, sf_dir, "period", "amount", "product_type", until=S.UNTIL)
+    rows = sales_mart(spark, sf_dir, "period", "amount", "ship_ts", "product_type")
     return R.quick_evidence(rows, SPEC, focus_row(spark, sf_dir))
 
 
@@ -97,7 +98,7 @@ def contrib_history(spark, sf_dir):
 )
 def entity_history_mean(spark, sf_dir):
     entities = R.entity_periods(mart(spark, sf_dir), SPEC)
-    return entities.groupBy("dimension", "name").agg(round_to(F.avg("value"), 2).alias("hist_mean"))
+    return entities.groupBy("dimension", "name").agg(round_to(exact_sum("value") / F.count("value"), 2).alias("hist_mean"))
 
 
 @query(
@@ -195,7 +196,7 @@ FLAGS = ("line_status", "return_flag", "order_status")
     S.root(FLAGS) + " SELECT dimension, name, share_abs, concentration AS level FROM top WHERE position = 1 AND share_abs >= 0.6",
 )
 def concentration_alerts(spark, sf_dir):
-    rows = sales_mart(spark, sf_dir, "period", "amount", *FLAGS, until=S.UNTIL)
+    rows = sales_mart(spark, sf_dir, "period", "amount", *FLAGS)
     return R.concentration_alerts(R.contributors(rows, AnalysisSpec(dimensions=FLAGS)))
 
 

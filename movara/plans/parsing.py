@@ -42,21 +42,17 @@ def slug(spark, sf_dir):
 @query(
     "format_ptbr",
     """WITH v AS (SELECT o_orderkey, o_totalprice AS x, floor(o_totalprice / 1000) AS w, o_totalprice / 1000 AS k FROM orders)
-SELECT o_orderkey, translate(format('{:,.2f}', x), ',.', '.,') AS price_raw,
-       CASE WHEN x >= 1000 THEN translate(format('{:,.0f}', x), ',', '.') ELSE translate(format('{:,.2f}', x), ',.', '.,') END AS price_compact,
-       translate(format('{:,.0f}', w), ',', '.') AS thousands FROM v WHERE x <> floor(x)""",
+SELECT o_orderkey, CASE WHEN x = floor(x) THEN translate(format('{:,.0f}', x), ',', '.') ELSE translate(format('{:,.2f}', x), ',.', '.,') END AS price_raw,
+       CASE WHEN x >= 1000 OR x = floor(x) THEN translate(format('{:,.0f}', x), ',', '.') ELSE translate(format('{:,.2f}', x), ',.', '.,') END AS price_compact,
+       translate(format('{:,.0f}', w), ',', '.') AS thousands FROM v""",
 )
 def format_ptbr(spark, sf_dir):
     price = F.col("o_totalprice")
-    return (
-        table(spark, sf_dir, "orders")
-        .where(price != F.floor(price))
-        .select(
-            "o_orderkey",
-            N.format_ptbr(price).alias("price_raw"),
-            N.format_ptbr(price, compact=True).alias("price_compact"),
-            N.format_ptbr(F.floor(price / 1000)).alias("thousands"),
-        )
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        N.format_ptbr(price).alias("price_raw"),
+        N.format_ptbr(price, compact=True).alias("price_compact"),
+        N.format_ptbr(F.floor(price / 1000)).alias("thousands"),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movara.functions.columns import ratio, round_to, settled
+from movara.functions.columns import ratio, round_to
+from movara.functions.sharing import shared
 from movara.operators import periods as P
 from movara.plans import sql as S
 from movara.plans.registry import query
@@ -14,17 +15,17 @@ from movara.sources.mart import AnalysisSpec, sales_mart, table
 SPEC = AnalysisSpec()
 
 
-def full_series(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    mart = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns, until=until)
-    return settled(P.period_metrics(mart, SPEC))
+def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart = sales_mart(spark, sf_dir, "period", "amount", *SPEC.support_columns)
+    return shared(P.period_metrics(mart, SPEC))
 
 
-def value_series(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    return settled(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount", until=until), "amount"))
+def value_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(P.monthly_sum(sales_mart(spark, sf_dir, "period", "amount"), "amount"))
 
 
-def moved(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
-    return P.movements(value_series(spark, sf_dir, until))
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.movements(value_series(spark, sf_dir))
 
 
 @query(
@@ -248,7 +249,7 @@ def point_moves(spark, sf_dir):
 UNION ALL (SELECT 'latest', period, prev_period, round(value, 2), round(delta, 2), round(pct, 4) FROM v ORDER BY period DESC LIMIT 1)""",
 )
 def focus_movement(spark, sf_dir):
-    rows = moved(spark, sf_dir, S.UNTIL)
+    rows = moved(spark, sf_dir)
     columns = [
         "movement",
         "period",
@@ -412,7 +413,7 @@ def driver_corr(spark, sf_dir):
 FROM dr JOIN corr USING (driver) WHERE period = (SELECT period FROM focus)""",
 )
 def driver_evidence(spark, sf_dir):
-    series = full_series(spark, sf_dir, S.UNTIL)
+    series = full_series(spark, sf_dir)
     return P.driver_evidence(series, SPEC, P.focus_movement(P.movements(series)))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movara.functions.columns import round_to, settled
+from movara.functions.columns import round_to
 from movara.functions.names import ADJUSTMENT_TERMS, IDENTIFIER_TERMS, NOISE_TERMS
+from movara.functions.sharing import shared
 from movara.operators import audit, dashboard, filters, quality
 from movara.operators import roles as R
 from movara.operators import vocabulary as V
@@ -365,7 +366,7 @@ def audit_findings(spark, sf_dir):
 )
 def audit_score(spark, sf_dir):
     rows = exported_lines(spark, sf_dir)
-    scored = settled(quality.quality_score(rows, _MEASURES))
+    scored = shared(quality.quality_score(rows, _MEASURES))
     found = audit.audit_findings(rows, ["receita"], "vendas", _MEASURES, scored=scored)
     return audit.audit_score(found, scored)
 

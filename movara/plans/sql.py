@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-UNTIL = "2001-11-01"
-
 MART = """m AS (
   SELECT l_orderkey AS order_id, l_shipdate AS ship_ts, strftime(l_shipdate, '%Y-%m') AS period,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, l_quantity AS quantity,
@@ -21,8 +19,6 @@ MART = """m AS (
   JOIN region ON n_regionkey = r_regionkey
 )"""
 
-CLOSED_MART = MART.rstrip(")") + f"  WHERE l_shipdate < TIMESTAMP '{UNTIL}'\n)"
-
 
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts)
@@ -63,7 +59,7 @@ FOCUS = """focus AS (
 )"""
 
 SERIES = ctes(MART, series(), moves())
-CLOSED = ctes(CLOSED_MART, series(), moves(), FOCUS)
+CLOSED = ctes(MART, series(), moves(), FOCUS)
 
 DIMENSIONS = ("product_type", "segment", "region", "brand")
 DIM_ORDER = "CASE dimension " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(DIMENSIONS)) + " END"
@@ -80,7 +76,7 @@ def long_entities(dimensions=DIMENSIONS, name: str = "ep") -> str:
 
 CONTRIBUTIONS = """cur AS (SELECT dimension, name, value FROM ep WHERE period = (SELECT period FROM focus)),
 prv AS (SELECT dimension, name, value FROM ep WHERE period = (SELECT prev_period FROM focus)),
-hist AS (SELECT dimension, name, avg(value) AS hist_mean FROM ep GROUP BY dimension, name),
+hist AS (SELECT dimension, name, CAST(sum(CAST(value AS DECIMAL(38,4))) AS DOUBLE) / count(value) AS hist_mean FROM ep GROUP BY dimension, name),
 con AS (
   SELECT coalesce(cur.dimension, prv.dimension) AS dimension, coalesce(cur.name, prv.name) AS name,
          coalesce(cur.value, 0) AS current_value, coalesce(prv.value, 0) AS previous_value,
@@ -139,7 +135,7 @@ IMPACT = """impact AS (
 
 def root(dimensions=DIMENSIONS) -> str:
     return ctes(
-        CLOSED_MART, series(), moves(), FOCUS, long_entities(dimensions), CONTRIBUTIONS, RECURRENCE, TOP, IMPACT
+        MART, series(), moves(), FOCUS, long_entities(dimensions), CONTRIBUTIONS, RECURRENCE, TOP, IMPACT
     )
 
 

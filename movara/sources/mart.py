@@ -46,11 +46,16 @@ COLUMNS = {
 
 @dataclass(frozen=True)
 class AnalysisSpec:
-    """What to analyse: one measure over months, cut by dimensions, with supporting measures."""
+    """What to analyse: one measure over months, cut by dimensions, with supporting measures.
+
+    ``date`` names the date column that ``period`` comes from, where the rows still have it: single months are then
+    read by a range of dates, which reaches the files.
+    """
 
     metric: str = "amount"
     period: str = "period"
     dimensions: tuple[str, ...] = ("product_type", "segment", "region", "brand")
+    date: str | None = None
     supports: dict[str, tuple[str, str]] = field(
         default_factory=lambda: {
             "quantity": ("quantity", "sum"),
@@ -76,12 +81,8 @@ def _path_to(name: str) -> list[str]:
     return path
 
 
-def sales_mart(spark: SparkSession, sf_dir: str, *columns: str, until: str | None = None) -> DataFrame:
-    """Line-item facts with only the lookups that the requested columns need.
-
-    ``until`` drops ship dates from that day on; it filters the fact scan itself, so
-    an unfinished last month never poses as a movement.
-    """
+def sales_mart(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Line-item facts with only the lookups that the requested columns need."""
     columns = columns or tuple(COLUMNS)
     needed: list[str] = []
     for column in columns:
@@ -89,8 +90,6 @@ def sales_mart(spark: SparkSession, sf_dir: str, *columns: str, until: str | Non
             if step not in needed:
                 needed.append(step)
     df = table(spark, sf_dir, "lineitem")
-    if until is not None:
-        df = df.where(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
     for name in needed:
         _, foreign, key = LOOKUPS[name]
         df = df.join(table(spark, sf_dir, name), F.col(foreign) == F.col(key), "left")
