@@ -159,18 +159,25 @@ def impact_ranking(top: DataFrame, per_dimension: int = 5, limit: int = 12) -> D
     return best.withColumn("impact_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def in_month(spec: AnalysisSpec, period: Column) -> Column:
-    """Rows of one month (a scalar ``yyyy-MM``): a half-open range of dates where the date column is there."""
-    if spec.date is None:
-        return F.col(spec.period) == period
-    first = F.to_date(F.concat(period, F.lit("-01")))
-    date = F.col(spec.date)
-    return (date >= first.cast("timestamp_ntz")) & (date < F.add_months(first, 1).cast("timestamp_ntz"))
+def in_month(spec: AnalysisSpec, period: str | None) -> Column:
+    """Rows of one month (``yyyy-MM``): a half-open range of dates where the date column is there."""
+    if spec.date is None or period is None:
+        return F.col(spec.period) == F.lit(period)
+    year, month = map(int, period.split("-"))
+    after = f"{year + month // 12:04d}-{month % 12 + 1:02d}-01"
+    date, bound = F.col(spec.date), lambda day: F.lit(day).cast("timestamp_ntz")
+    return (date >= bound(f"{period}-01")) & (date < bound(after))
+
+
+def focus_months(focus: DataFrame) -> tuple[str | None, str | None]:
+    """The focus month and the one before, read as plain values so that they prune the scan (one row)."""
+    row = focus.select("period", "prev_period").first()
+    return (row["period"], row["prev_period"]) if row else (None, None)
 
 
 def contributor_context(df: DataFrame, spec: AnalysisSpec, top: DataFrame, focus: DataFrame) -> DataFrame:
     """For each contributor, the leading value of up to three other dimensions in the focus month."""
-    month = df.where(in_month(spec, focus.select("period").scalar()) & F.col(spec.metric).isNotNull())
+    month = df.where(in_month(spec, focus_months(focus)[0]) & F.col(spec.metric).isNotNull())
     options = []
     for dim in spec.dimensions:
         others = [d for d in spec.dimensions if d != dim][:3]
@@ -284,10 +291,10 @@ def quick_evidence(df: DataFrame, spec: AnalysisSpec, focus: DataFrame, limit: i
     When none is in both, the largest entity of the focus month stands in, without a change.
     """
     dim = spec.dimensions[0]
-    month, before = focus.select("period").scalar(), focus.select("prev_period").scalar()
+    month, before = focus_months(focus)
     valid = df.where(F.col(spec.metric).isNotNull() & F.col(dim).isNotNull())
 
-    def totals(period: Column, alias: str) -> DataFrame:
+    def totals(period: str | None, alias: str) -> DataFrame:
         rows = valid.where(in_month(spec, period))
         return rows.groupBy(F.col(dim).cast("string").alias("name")).agg(
             F.sum(spec.metric).cast("double").alias(alias)
