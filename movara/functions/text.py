@@ -1,81 +1,101 @@
-"""Text normalisation as native Spark column expressions."""
+"""Text normalisation as native Spark column expressions, with the same rules for names held as schema."""
 
 from __future__ import annotations
 
-import json
+import re
+import sys
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from movara.functions.columns import as_col
+from movara.functions.columns import as_col, let
 
+#: Texts within these characters fold one by one; the common case in European languages.
+SIMPLE_END = 0x24F
+PAGE = 256
 
-def _stripped(char: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", char)
-    return "".join(c for c in decomposed if not unicodedata.combining(c))
+#: After folding and lower-casing, by separator: (pattern, replacement), in order.
+JOINING = {
+    "_": (("[^a-z0-9_]+", "_"), ("_+", "_")),
+    " ": (("[^a-z0-9_]+", " "), ("\\s+", " ")),
+}
 
 
 @lru_cache(maxsize=1)
-def _fold_rules() -> tuple[str, str, dict[str, str]]:
-    """Compatibility folding of the basic plane, derived from the Unicode database.
+def foldings() -> dict[int, str]:
+    """Code points whose compatibility decomposition without combining marks differs from them.
 
-    One-to-one foldings feed ``translate``; the few characters that expand into
-    several (ligatures, fractions, enclosed letters) go to a lookup map.
+    Derived from the Unicode database over its whole range; a mark folds to nothing.
     """
-    source, target, expanding = [], [], {}
-    for code in range(0xA0, 0xFFFF):
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+    changed = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF:
             continue
-        char = chr(code)
-        folded = _stripped(char)
-        if folded == char or (folded == "" and unicodedata.combining(char)):
-            continue
-        if len(folded) == 1:
-            source.append(char)
-            target.append(folded)
-        elif 1 < len(folded) <= 8:
-            expanding[char] = folded
-    return "".join(source), "".join(target), expanding
+        parts = unicodedata.normalize("NFKD", chr(code))
+        kept = "".join(part for part in parts if unicodedata.combining(part) == 0)
+        if kept != chr(code):
+            changed[code] = kept
+    return changed
 
 
 @lru_cache(maxsize=1)
-def _expanding_classes() -> tuple[str, str]:
-    """A one-range guard for the expanding characters, and their exact class as runs."""
-    codes = sorted(ord(char) for char in _fold_rules()[2])
-    runs: list[list[int]] = []
-    for code in codes:
-        if runs and code == runs[-1][1] + 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    exact = "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in runs)
-    return f"[\\u{codes[0]:04x}-\\uffff]", f"[{exact}]"
+def _simple() -> tuple[str, str, str]:
+    """For ``translate``: letters with one substitute, their substitutes and then marks without any; the class
+    of all other characters."""
+    single = {c: f for c, f in foldings().items() if c <= SIMPLE_END and len(f) == 1}
+    marks = [c for c in range(0x300, 0x340) if foldings().get(c) == ""]  # an unbroken run of marks
+    many = [c for c in range(SIMPLE_END + 1) if len(foldings().get(c, "x")) != 1]
+    ends = [-1, *many, SIMPLE_END + 1]
+    runs = [(a + 1, b - 1) for a, b in zip(ends, ends[1:]) if a + 1 < b] + [(marks[0], marks[-1])]
+    allowed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    source = "".join(map(chr, [*single, *marks]))
+    return source, "".join(single.values()), f"[^{allowed}]"
+
+
+@lru_cache(maxsize=1)
+def _pages() -> tuple[str, str]:
+    """All foldings as two separated texts: the place of every page, and the pages' substitutes.
+
+    A page has a substitute for each of its characters, itself where it stays; ASCII is not looked up.
+    """
+    held = sorted({code // PAGE for code in foldings()})
+    place = {page: n for n, page in enumerate(held)}
+    places = ",".join(str(place.get(page, "")) for page in range(max(held) + 1))
+    shown = lambda code: chr(code) if code >= 0x80 and not 0xD800 <= code <= 0xDFFF else ""
+    codes = (page * PAGE + n for page in held for n in range(PAGE))
+    return places, "\x01".join(foldings().get(code, shown(code)) for code in codes)
 
 
 def strip_accents(value) -> Column:
-    """Drop diacritics and fold compatibility characters."""
-    value = as_col(value)
-    source, target, expanding = _fold_rules()
-    lookup = F.from_json(F.lit(json.dumps(expanding)), "map<string,string>")
-    spread = F.array_join(
-        F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""
+    """Compatibility characters decomposed and combining marks dropped, in every script."""
+
+    def wide(text: Column) -> Column:
+        # splits of literals are folded to constant arrays when the query is planned
+        places, substitutes = (F.split(F.lit(t), by, -1) for t, by in zip(_pages(), (",", "\x01"), strict=True))
+
+        def substitute(code: Column) -> Column:
+            place = F.get(places, F.shiftright(code, 8)).try_cast("int")
+            return F.when(code >= 0x80, F.get(substitutes, place * PAGE + code.bitwiseAND(PAGE - 1)))
+
+        return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(substitute(F.ascii(c)), c)), "")
+
+    source, target, other = _simple()
+    return let(
+        value,
+        lambda text: F.when(~text.rlike(r"[^\x00-\x7f]"), text)
+        .when(text.rlike(other), wide(text))
+        .otherwise(F.translate(text, source, target)),
     )
-    guard, exact = _expanding_classes()
-    widened = F.when(value.rlike(guard) & value.rlike(exact), spread).otherwise(value)
-    folded = F.regexp_replace(F.translate(widened, source, target), r"\p{Mn}", "")
-    return F.when(value.rlike(r"[^\x00-\x7f]"), folded).otherwise(value)
 
 
 def normalize(value, separator: str = "_") -> Column:
     """Accent-free lower-case text where runs of other characters become the separator."""
-    joint = " " if separator == " " else "_"
     text = F.lower(strip_accents(value))
-    text = F.regexp_replace(text, "[^a-z0-9_]+", joint)
-    if joint == " ":
-        return F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.btrim(F.regexp_replace(text, "_+", "_"), F.lit("_"))
+    for pattern, joint in JOINING[separator]:
+        text = F.regexp_replace(text, pattern, joint)
+    return F.btrim(text, F.lit(separator))
 
 
 def slug(value) -> Column:
@@ -92,14 +112,8 @@ def trim_all(value) -> Column:
 
 
 def normalize_name(name: str, separator: str = "_") -> str:
-    """The same rule for one column name; schema-level, so it runs on the driver."""
-    import re
-
-    text = re.sub("[^a-z0-9_]+", " " if separator == " " else "_", _stripped_text(name).lower())
-    if separator == " ":
-        return re.sub(r"\s+", " ", text).strip()
-    return re.sub("_+", "_", text).strip("_")
-
-
-def _stripped_text(text: str) -> str:
-    return "".join(_stripped(char) for char in str(text))
+    """``normalize`` of a name that is schema, from the same foldings and patterns."""
+    text = name.translate(foldings()).lower()
+    for pattern, joint in JOINING[separator]:
+        text = re.sub(pattern, joint, text)
+    return text.strip(separator)

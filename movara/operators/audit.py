@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from movara.functions.columns import first_match, numeric_columns, round_to
-from movara.functions.names import is_identifier, is_noise
+from movara.functions.names import named_as
 from movara.functions.text import normalize_name
 from movara.functions.sharing import shared
 from movara.operators import quality, roles, stats
@@ -87,7 +87,7 @@ def audit_findings(
     level = F.when(outlier_rate >= 0.08, "warning").otherwise("info")
     findings.append(_finding(outliers, "numeric_outliers", level, outlier_rate, F.col("n").isNotNull()))
 
-    identifiers = [c for c in numeric_columns(df) if is_identifier(c)]
+    identifiers = [c for c in numeric_columns(df) if named_as("identifier", c)]
     if any(c in metrics for c in identifiers):
         findings.append(_finding(evidence, "identifier_as_metric", "critical", float(len(identifiers))))
     elif identifiers:
@@ -103,11 +103,11 @@ def audit_findings(
 
 def _metric_findings(df, evidence, metrics, numeric, domain) -> list[DataFrame]:
     findings = []
-    noisy = [m for m in metrics if is_noise(m)]
+    noisy = [m for m in metrics if named_as("noise", m)]
     if noisy:
         findings.append(_finding(evidence, "noise_metric", "critical", float(len(noisy))))
     candidates = [
-        c for c in numeric if any(t in normalize_name(c) for t in BUSINESS_VALUE_TERMS) and not is_noise(c)
+        c for c in numeric if any(t in normalize_name(c) for t in BUSINESS_VALUE_TERMS) and not named_as("noise", c)
     ]
     if metrics and candidates and not any(m in candidates for m in metrics):
         findings.append(_finding(evidence, "unprioritised_metric", "warning", float(len(candidates))))

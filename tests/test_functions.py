@@ -4,7 +4,7 @@ from movara.functions import dates as D
 from movara.functions import labels as L
 from movara.functions import numbers as N
 from movara.functions import text as T
-from movara.functions.names import is_adjustment, is_identifier, is_noise
+from movara.functions.names import named_as
 
 
 def column(spark, values, build, kind="string"):
@@ -19,8 +19,20 @@ def test_accents_and_names(spark):
     assert column(spark, ["Custo (R$/TON)"], lambda c: T.normalize(c, " ")) == ["custo r ton"]
     assert column(spark, ["Custo (R$/TON)"], T.slug) == ["custo_r_ton"]
     assert T.normalize_name("Nº_NF") == "no_nf"
-    assert is_identifier("Nº_NF") and is_identifier("ID Cliente") and not is_identifier("Receita Total")
-    assert is_noise("Prazo Dias") and is_adjustment("Desconto (%)")
+    assert named_as("identifier", "Nº_NF") and named_as("identifier", "ID Cliente")
+    assert not named_as("identifier", "Receita Total")
+    assert named_as("noise", "Prazo Dias") and named_as("adjustment", "Desconto (%)")
+
+
+def test_folding_in_every_script(spark):
+    import unicodedata
+
+    texts = ["\U0001d400bc", "\ufdfa", "\u0e34\u0e01", "\u0941x", "\ud55c\uae00", "½ ﬁ ĳ", "a\u0301b\u0345", "x\U0001f600y", "Åﬀ\u00a8"]
+    texts += ["".join(chr(c) for c in range(lo, lo + 512) if not 0xD800 <= c <= 0xDFFF) for lo in range(0x80, 0x20000, 512)]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]
+    assert column(spark, texts, T.strip_accents) == want
+    plain = [t for t in texts[:9] if t.strip()]
+    assert column(spark, plain, T.normalize) == [T.normalize_name(t) for t in plain]
 
 
 def test_locale_numbers(spark):

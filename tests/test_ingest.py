@@ -34,7 +34,8 @@ def test_folder_ingest(spark, tmp_path):
 
 
 def test_names_and_cells(spark):
-    assert I.unique_names(["﻿a", "", "a", None, "Unnamed: 3", "a"]) == ["a", "coluna_2", "a_2", "coluna_4", "coluna_5", "a_3"]
+    assert I.unique_names(spark, ["﻿a", "", "a", None, "Unnamed: 3", "a"]) == ["a", "coluna_2", "a_2", "coluna_4", "coluna_5", "a_3"]
+    assert I.unique_names(spark, ["a", "a", "a_2", "a"]) == ["a", "a_3", "a_2", "a_4"]
     from movara.sources.cells import drop_empty
 
     df = spark.createDataFrame([("x", " ", 1), (" ", "", None)], "a string, b string, c int")
