@@ -60,8 +60,8 @@ SHAPE_COLUMNS = (
     "parsed_rows", "first_year", "last_year",
 )
 
-# Every date, period and number starts like this; other cells only count as misses.
-DATE_START = r"^(?:[-+.]?\d|[A-Za-z\u00c0-\u00ff]{1,12}[\s_/-]*\d)"
+# Every accepted date, period and number holds a digit; other cells only count as misses.
+ANY_DIGIT = "[0-9]"
 
 
 def is_unix(number: Column) -> Column:
@@ -79,7 +79,7 @@ def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     cells = df.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns])
     long = cells.unpivot([], columns, "column", "text").where(F.col("text").isNotNull())
-    possible = F.when(F.col("text").rlike(DATE_START), F.col("text"))
+    possible = F.when(F.col("text").rlike(ANY_DIGIT), F.col("text"))
     counted = long.groupBy("column", possible.alias("text")).agg(F.count("*").alias("copies"))
     text = F.col("text")
     flags = {f"m{i}": text.rlike(p) for i, p in enumerate(MONTH_SHAPES)}

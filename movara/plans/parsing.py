@@ -197,13 +197,16 @@ def parse_unix(spark, sf_dir):
 
 
 def mixed_dates(events: DataFrame) -> DataFrame:
-    """Period texts, dd/mm dates and unix numbers in one text column."""
-    pick = F.col("event_id") % 4
+    """Period texts, dates of several shapes and unix numbers in one text column."""
+    pick = F.col("event_id") % 8
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint")
     text = (
         F.when(pick == 0, F.date_format("ts", "yyyy-MM"))
         .when(pick == 1, F.date_format("ts", "dd/MM/yyyy"))
         .when(pick == 2, seconds.cast("string"))
+        .when(pick == 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(pick == 5, F.date_format("ts", "MMM d, yyyy"))
+        .when(pick == 6, F.date_format("ts", "yyyyMMdd"))
         .otherwise("sem data")
     )
     return events.select("event_id", text.alias("raw"))
@@ -211,8 +214,9 @@ def mixed_dates(events: DataFrame) -> DataFrame:
 
 @query(
     "parse_common_dates",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-01 00:00:00') WHEN 1 THEN strftime(ts, '%Y-%m-%d 00:00:00')
-       WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 8 = 0 THEN strftime(ts, '%Y-%m-01 00:00:00')
+       WHEN event_id % 8 IN (1, 5, 6) THEN strftime(ts, '%Y-%m-%d 00:00:00')
+       WHEN event_id % 8 IN (2, 4) THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment FROM events""",
 )
 def parse_common_dates(spark, sf_dir):
     rows = mixed_dates(table(spark, sf_dir, "events"))

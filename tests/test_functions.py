@@ -79,3 +79,9 @@ def test_status_precedence(spark):
     )
     got = [r[0] for r in rows.select(L.movement_status("delta", "pct", "z")).collect()]
     assert got == ["base", "outlier", "critical", "relevant", "up", "flat"]
+
+
+def test_date_shapes(spark):
+    texts = ["2024-01-05T10:00:00.75Z", "2024-01-05 10:00:00+03:00", "Jan 5, 2024", "5 January 2024", "05-sep-2024", "20240105", "20241399", "Janky 5, 2024", "31/12/24"]
+    want = ["2024-01-05 10:00:00.75", "2024-01-05 10:00:00", "2024-01-05 00:00:00", "2024-01-05 00:00:00", "2024-09-05 00:00:00", "2024-01-05 00:00:00", None, None, "2024-12-31 00:00:00"]
+    assert column(spark, texts, lambda c: D.parse_date(c, True).cast("string")) == want
