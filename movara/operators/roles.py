@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movara.functions.columns import exact_sum, first_match, round_to
+from movara.functions.columns import exact_sum, first_match, nan_to_null, round_to
 from movara.functions.dates import UNIX_SECONDS, parse_date, parse_period, parse_unix, year_month_date, year_number
 from movara.functions.names import (
     ADJUSTMENT_TERMS,
@@ -202,10 +202,15 @@ def date_candidates(typed: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Typed catalog of a table, computed in one pass and settled (one row per column)."""
+    """Typed catalog of a table, computed in one pass for all its readers (one row per column)."""
     return shared(with_types(column_catalog(df)))
 
 
+def name_catalog(df: DataFrame) -> DataFrame:
+    """Column names with their present cells: all that tests of names need, without parsing a cell."""
+    return per_column(nan_to_null(df), df.columns, lambda c: {"present": F.count(F.col(c))})
+
+
 def flagged_names(catalog: DataFrame) -> DataFrame:
     return catalog.select("column", "present", *[c.alias(n) for n, c in name_flags("column").items()])
 

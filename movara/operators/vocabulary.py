@@ -93,9 +93,6 @@ ANALYSIS_DIMENSIONS = {
     "generico": ("produto", "categoria", "cliente", "fornecedor", "status"),
 }
 
-# Supports that are averaged over a month instead of summed.
-RATE_SUPPORTS = ("custo", "prazo", "margem", "margem_ebitda", "oee", "taxa_aprovacao", "desconto")
-
 BUSINESS_VALUE_TERMS = (
     "valor", "valor_total", "total", "receita", "faturamento", "venda", "vendas", "compra", "compras", "custo",
     "despesa", "gasto", "preco", "lucro", "margem",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movara.functions.columns import exact_sum, round_to
-from movara.functions.sharing import shared
+from movara.functions.labels import movement_severity as severity
+from movara.functions.sharing import checkpoint_dir, shared
 from movara.operators import periods as P
 from movara.operators import rootcause as R
 from movara.plans import sql as S
@@ -314,6 +318,39 @@ def export_monthly(spark, sf_dir):
     return monthly_rows(closed_series(spark, sf_dir, supports=True), SPEC)
 
 
+@query("export_bi", S.CLOSED + _MONTHLY)
+def export_bi(spark, sf_dir):
+    """The monthly table written for a BI tool as headed CSV, and read again."""
+    from movara.operators.export import monthly_rows, write_tables
+
+    rows = monthly_rows(closed_series(spark, sf_dir, supports=True), SPEC)
+    folder = f"{checkpoint_dir(spark) or tempfile.mkdtemp(prefix='movara-bi-')}/{uuid.uuid4()}"
+    write_tables({"monthly": rows}, folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/monthly")
+
+
+SEVERITY = """CASE WHEN abs(coalesce(pct, 0)) >= 0.5 THEN 'critical' WHEN abs(coalesce(pct, 0)) >= 0.25 THEN 'relevant'
+       WHEN abs(delta) > 0 THEN 'moderate' ELSE 'stable' END"""
+
+
+@query("movement_severity", S.SERIES + f" SELECT period, round(delta, 2) AS delta, {SEVERITY} AS severity FROM v")
+def movement_severity(spark, sf_dir):
+    moved = P.movements(closed_series(spark, sf_dir))
+    return moved.select("period", round_to("delta", 2).alias("delta"), severity("delta", "pct").alias("severity"))
+
+
+@query(
+    "focus_summary",
+    S.CLOSED
+    + """ SELECT period, prev_period, CASE WHEN delta >= 0 THEN 'up' ELSE 'down' END AS direction,
+       round(value, 2) AS value, round(delta, 2) AS delta, round(pct, 4) AS pct, round(value - hist_mean, 2) AS hist_delta FROM focus""",
+)
+def focus_summary(spark, sf_dir):
+    summary = R.focus_summary(focus_row(spark, sf_dir))
+    figures = [round_to(c, 2).alias(c) for c in ("value", "delta", "hist_delta")]
+    return summary.select("period", "prev_period", "direction", *figures, "pct")
+
+
 @query(
     "export_root_cause",
     S.ROOT

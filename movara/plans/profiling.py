@@ -14,7 +14,7 @@ DIRTY = """WITH d0 AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
          CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS quantity,
          CASE WHEN l_orderkey % 997 = 0 THEN l_extendedprice * 40 ELSE l_extendedprice END AS price,
-         CASE WHEN l_partkey % 9 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS net,
+         CASE WHEN l_orderkey % 983 = 0 THEN NULL WHEN l_partkey % 9 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS net,
          CAST(CASE WHEN l_orderkey % 5 = 0 THEN 9 ELSE 1 END AS DOUBLE) AS flat,
          CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE l_returnflag END AS flag,
          CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_linestatus END AS status,

@@ -166,7 +166,7 @@ _ADJUST = f"regexp_matches(\"column\", '{'|'.join(ADJUSTMENT_TERMS)}')"
   {_ADJUST}::INT AS is_adjustment FROM cat""",
 )
 def name_flags(spark, sf_dir):
-    return R.flagged_names(typed(spark, sf_dir))
+    return R.flagged_names(R.name_catalog(retail(spark, sf_dir)))
 
 
 def _vocab(name: str, groups: dict) -> str:
@@ -182,7 +182,7 @@ def _vocab(name: str, groups: dict) -> str:
     + """ SELECT "column", vocabulary, rank, term, present FROM cat JOIN vo ON contains("column", term)""",
 )
 def vocab_match(spark, sf_dir):
-    hits = R.vocabulary_matches(typed(spark, sf_dir), V.DASHBOARD_DOMAINS)
+    hits = R.vocabulary_matches(R.name_catalog(retail(spark, sf_dir)), V.DASHBOARD_DOMAINS)
     return hits.select("column", "vocabulary", "rank", "term", "present")
 
 

@@ -97,7 +97,7 @@ def sales_mart(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Line items with injected defects: nulls, outliers, negatives, an empty column, repeated rows."""
+    """Line items with injected defects: nulls, NaN, outliers, negatives, an empty column, repeated rows."""
     key = lambda name, n: F.col(name) % n == 0
     price = F.col("l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").select(
@@ -107,7 +107,7 @@ def dirty_lines(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         "l_linenumber",
         F.when(~key("l_partkey", 7), F.col("l_quantity")).alias("quantity"),
         F.when(key("l_orderkey", 997), price * 40).otherwise(price).alias("price"),
-        F.when(key("l_partkey", 9), -price).otherwise(price).alias("net"),
+        F.when(key("l_orderkey", 983), float("nan")).when(key("l_partkey", 9), -price).otherwise(price).alias("net"),
         F.when(key("l_orderkey", 5), 9.0).otherwise(1.0).alias("flat"),
         F.when(~key("l_suppkey", 11), F.col("l_returnflag")).alias("flag"),
         F.when(~key("l_partkey", 13), F.col("l_linestatus")).alias("status"),

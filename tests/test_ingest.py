@@ -16,10 +16,16 @@ def test_folder_ingest(spark, tmp_path):
     write(tmp_path, "numbers.csv", "10\n20\n30\n")
     write(tmp_path, "pipe.txt", "produto|valor\ncafe|1\ncha|2\n")
     write(tmp_path, "tab.tsv", "produto\tvalor\ncafe\t1\ncha\t2\n")
+    write(tmp_path, "empty.csv", "")
+    write(tmp_path, "blank.csv", "\n  \n\n")
     report, body = I.ingest(spark, str(tmp_path))
     got = {r.file.rsplit("/", 1)[1]: r for r in report.collect()}
     accepted = {name for name, r in got.items() if r.accepted}
     assert accepted == {"title_row.csv", "bom.csv", "ragged.csv", "one_column.csv", "pipe.txt", "tab.tsv"}
+    assert {n: r.reason for n, r in got.items() if not r.accepted} == {
+        "no_header.csv": "no_header", "numbers.csv": "no_header", "empty.csv": "empty", "blank.csv": "blank",
+    }
+    assert got["blank.csv"].blank_rows_dropped == 3 and got["bom.csv"].blank_rows_dropped == 0
     assert got["title_row.csv"].metadata_rows == 1 and got["title_row.csv"].separator == ";"
     assert got["pipe.txt"].separator == "|" and got["tab.tsv"].separator == "\t"
     assert got["ragged.csv"].parsed_columns == 4 and got["ragged.csv"].generic_names == 1

@@ -7,7 +7,6 @@ from movara.operators import filters, quality, stats
 
 
 def test_exact_quantiles_under_skew(spark, monkeypatch):
-    monkeypatch.setattr(stats, "SMALL_COLUMN", 100)
     monkeypatch.setattr(stats, "BRACKET", 0.01)
     rng = np.random.default_rng(7)
     values = np.concatenate([np.full(20000, 3.5), rng.lognormal(3, 2, 40000).round(3)])
@@ -45,3 +44,26 @@ def test_filters(spark):
     assert df.where(filters.date_range("t", "2024-01-01", "2024-01-02")).count() == 1
     assert df.where(filters.date_range("t", "nonsense", None)).count() == 3
     assert df.where(filters.categories(df, {"k": ["x", " "], "zz": ["q"]})).count() == 2
+
+
+def test_nan_tiny_and_huge_values(spark):
+    rows = spark.createDataFrame([(1.0, 0.00004, 1e26), (float("nan"), 0.00004, 1e26), (3.0, 1e-12, -1e26)], "a double, b double, c double")
+    got = {r.column: r for r in stats.numeric_stats(rows).collect()}
+    assert (got["a"]["count"], got["a"]["sum"], got["a"]["mean"], got["a"]["max"]) == (2, 4.0, 2.0, 3.0)
+    assert got["b"]["sum"] == 0.0001 and got["c"]["sum"] == 1e26
+    assert {r.column: r.missing for r in stats.missing_counts(rows).collect()} == {"a": 1, "b": 0, "c": 0}
+    summary = {r.column: r for r in stats.numeric_summary(rows).collect()}
+    assert summary["a"]["mean"] == 2.0 and summary["a"]["q75"] == 2.5 and summary["c"]["max"] == 1e26
+
+
+def test_quantiles_of_ordered_values(spark):
+    import numpy as np
+
+    values = np.sort(np.random.default_rng(1).normal(size=50_000))
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").coalesce(4)
+    wanted = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    got = {r.q: r.value for r in stats.exact_quantiles(rows, ["v"], wanted).collect()}
+    assert all(abs(got[q] - np.quantile(values, q)) < 1e-12 for q in wanted)
+    few = spark.createDataFrame([(float(v),) for v in range(7)], "v double").repartition(5)
+    got = {r.q: r.value for r in stats.exact_quantiles(few, ["v"], wanted).collect()}
+    assert all(abs(got[q] - np.quantile(np.arange(7.0), q)) < 1e-12 for q in wanted)
