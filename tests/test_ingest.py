@@ -55,3 +55,31 @@ def test_json(spark, tmp_path):
     arrays.mkdir()
     (arrays / "records.json").write_text('[{"a": 1},\n {"a": 2}]')
     assert I.read_json(spark, str(arrays), lines=False).count() == 2
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    write(tmp_path, "quoted.csv", 'nota,valor\n"x\ny, ""z""\n",1\n"a, b,",2\n5" tela,3\n"p\n\nq",4\n')
+    write(tmp_path, "stray.csv", 'produto,valor\ncafe,1\n"cha,2\nmate,3\n')
+    rows = {}
+    for r in I.read_lines(spark, str(tmp_path)).orderBy("line_no").collect():
+        rows.setdefault(r.file.rsplit("/", 1)[1], []).append(r.line)
+    assert rows["quoted.csv"] == ["nota,valor", '"x\ny, ""z""\n",1', '"a, b,",2', '5" tela,3', '"p\n\nq",4']
+    assert rows["stray.csv"] == ["produto,valor", "cafe,1", '"cha,2', "mate,3"]
+    _, body = I.ingest(spark, str(tmp_path))
+    table = I.table_of(body, ["nota", "valor"]).collect()
+    assert sorted(map(tuple, table)) == sorted([('x\ny, "z"', "1"), ("a, b,", "2"), ('5" tela', "3"), ("p\n\nq", "4")])
+
+
+def test_quotes_over_blocks(spark):
+    """Every cut of a file into blocks gives the records that the whole text gives."""
+    import csv
+    import io
+
+    text = 'a,b\n"1\n2",x\nplain,"y\n\nz"\n"q""\n""r",s\nlast,t\n'
+    lines = text.rstrip("\n").split("\n")
+    want = [",".join(row) for row in csv.reader(io.StringIO(text))]
+    for size in (1, 2, 3, 20):
+        data = [("f", (at // size * 100, at), line, "utf-8") for at, line in enumerate(lines)]
+        frame = spark.createDataFrame(data, "file string, line_no struct<block: long, pos: long>, line string, encoding string")
+        got = I.join_quoted(frame).orderBy("line_no").collect()
+        assert [",".join(next(csv.reader(io.StringIO(r.line)))) for r in got] == want, size
