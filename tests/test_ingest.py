@@ -83,3 +83,12 @@ def test_quotes_over_blocks(spark):
         frame = spark.createDataFrame(data, "file string, line_no struct<block: long, pos: long>, line string, encoding string")
         got = I.join_quoted(frame).orderBy("line_no").collect()
         assert [",".join(next(csv.reader(io.StringIO(r.line)))) for r in got] == want, size
+
+
+def test_json_arrays_and_lines(spark, tmp_path):
+    write(tmp_path, "array.json", '\n [\n {"a": 1, "b": "x"},\n {"a": 2, "b": "y"}\n]\n')
+    write(tmp_path, "lines.json", '{"a": 3, "c": true}\n{"a": 4}\n')
+    got = I.read_json(spark, str(tmp_path))
+    assert sorted(r.a for r in got.collect()) == [1, 2, 3, 4] and set(got.columns) == {"a", "b", "c"}
+    (tmp_path / "none").mkdir()
+    assert I.read_json(spark, str(tmp_path / "none")).count() == 0
