@@ -202,7 +202,11 @@ def one_per_group(uploads: DataFrame, shingle: int = 3, radius: int = 3) -> Data
 
     ``uploads`` also has ``record``, the row to return. Of exactly repeated rows one stays.
     """
-    copies = near_copies(uploads, shingle, radius)
+    return first_of_groups(uploads, near_copies(uploads, shingle, radius))
+
+
+def first_of_groups(uploads: DataFrame, copies: DataFrame) -> DataFrame:
+    """The ``record`` of the first upload of each ``group`` of ``copies`` (``dataset_id``, ``content_key``, ``group``)."""
     order = F.struct(F.col("dataset_id").isNull(), "dataset_id", "content_key")
     kept = (
         copies.groupBy("group")
