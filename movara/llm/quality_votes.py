@@ -1,6 +1,6 @@
 """Quality of uploads by the votes of their nearest labelled neighbours.
 
-Word shapes and short words become hashed features, weighted by their frequency over all uploads. A bounded, hashed sample
+Word shapes, words and the byte runs of long words become hashed features, weighted by their frequency over all uploads. A bounded, hashed sample
 of reviewed uploads gives a truncated singular value decomposition (latent-semantic axes); its vectors are
 broadcast, and every upload takes exact blocked cosine products with all of them. The nearest vote for their labels,
 weighted by similarity.
@@ -31,17 +31,21 @@ BLOCK = 1024
 #: Votes weigh the cosine to this power.
 SHARPNESS = 8
 SEED = 7
-#: Distinct shapes, and short words, whose features a task keeps.
+#: Distinct shapes, and words, whose features a task keeps, and the most bytes of one.
 REMEMBERED = 200_000
+KEPT_BYTES = 64
 
 #: Bytes of a word's shape: capitals, small letters and non-ASCII, digits; other characters stay.
 CLASSES = bytes(
     65 if 65 <= b <= 90 else 97 if b >= 128 or 97 <= b <= 122 else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 RUNS = re.compile(rb"([Aa0])\1*|(.)\2*", re.DOTALL)
-ENDING = re.compile(rb"[^Aa0]*$")
-#: Longest words, in bytes, that are features by themselves.
-SHORT = 4
+MARKS = bytes(b for b in range(256) if b not in b"Aa0")
+#: Words of more bytes also give all their runs of GRAM bytes (two characters of most scripts without blanks).
+LONG = 24
+GRAM = 6
+#: Grams hashed at once.
+CHUNK = 65_536
 
 
 def hashed(kind: str, name: bytes) -> int:
@@ -50,37 +54,57 @@ def hashed(kind: str, name: bytes) -> int:
 
 def shape_features(classes: bytes) -> tuple[int, int]:
     """Hashed shape of a word, its runs cut to one letter class or two equal marks, and its ending of marks."""
-    shape = b"".join(m[1] or m[0][:2] for m in RUNS.finditer(classes[:64]))
-    return hashed("shape", shape), hashed("ending", ENDING.search(classes)[0][:4])
+    shape = b"".join(m[1] or m[0][:2] for m in RUNS.finditer(classes))
+    return hashed("shape", shape), hashed("ending", classes[len(classes.rstrip(MARKS)) :])
+
+
+def gram_counts(word: bytes) -> np.ndarray:
+    """How often each feature occurs among all byte runs of a long word."""
+    codes, counts = np.frombuffer(word, np.uint8).astype(np.uint64), np.zeros(FEATURES, np.int64)
+    for at in range(0, len(word) - GRAM + 1, CHUNK):
+        part = codes[at : at + CHUNK + GRAM - 1]
+        grams = sum(part[k : len(part) - GRAM + 1 + k] << np.uint64(8 * k) for k in range(GRAM))
+        places = (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(FEATURES)
+        counts += np.bincount(places.astype(np.int64), minlength=FEATURES)
+    return counts
 
 
 class Counting:
-    """Feature counts of texts; remembers the features of shapes and short words."""
+    """Feature counts of texts; remembers the features of shapes and words."""
 
     def __init__(self):
         self.shapes: dict[bytes, tuple[int, int]] = {}
-        self.short: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
 
     def __call__(self, content: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct features and log-scaled counts; one feature for an empty text."""
         content = content or b""
         counts = np.zeros(FEATURES, np.float64)
-        for known in (self.shapes, self.short):
+        for known in (self.shapes, self.words):
             if len(known) > REMEMBERED:
                 known.clear()
+        places, times = [], []
         for classes, n in Counter(content.translate(CLASSES).split()).items():
             ids = self.shapes.get(classes)
             if ids is None:
-                ids = self.shapes[classes] = shape_features(classes)
-            counts[ids[0]] += n
-            counts[ids[1]] += n
+                ids = shape_features(classes)
+                if len(classes) <= KEPT_BYTES:
+                    self.shapes[classes] = ids
+            places += ids
+            times += (n, n)
         seen = Counter(content.split())
         for word, n in seen.items():
-            if len(word) <= SHORT:
-                i = self.short.get(word)
-                if i is None:
-                    i = self.short[word] = hashed("word", word.lower())
-                counts[i] += n
+            i = self.words.get(word)
+            if i is None:
+                i = hashed("word", word.lower())
+                if len(word) <= KEPT_BYTES:
+                    self.words[word] = i
+            places.append(i)
+            times.append(n)
+            if len(word) > LONG:
+                counts += n * gram_counts(word.lower())
+        if places:
+            counts += np.bincount(places, times, FEATURES)
         total = sum(seen.values())
         variety = int(8 * len(seen) / total) if total else -1
         most = int(8 * max(seen.values()) / total) if total else -1

@@ -53,3 +53,23 @@ def test_counts():
     assert count(None)[0].tolist() == count(b"")[0].tolist() and len(count(b"")[0]) >= 1
     same, other = count(b"the best table"), count(b"THE!! BEST!! TABLE!!")
     assert set(same[0]) != set(other[0])
+
+
+def test_texts_that_differ_in_long_words_only(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(60)] for _ in range(2)]
+    rows = [(i, "a", " ".join(rng.choice(vocabulary[i % 2], 40, replace=False))) for i in range(80)]
+    uploads = spark.createDataFrame(rows, "dataset_id long, file_name string, content string")
+    model = fit_votes(uploads, spark.createDataFrame([(i, i % 2) for i in range(60)], REVIEWS))
+    scores = {r.dataset_id: r.score for r in score_uploads(uploads, model).collect()}
+    assert all((scores[i] >= 0.5) == (i % 2 == 1) for i in range(60, 80))
+
+
+def test_long_texts_without_blanks():
+    count = Counting()
+    for start, one, other in (("字" * 30, "這是第一段文字內容" * 20, "另有不同的句子在此" * 20), ("x" * 70, "var=1;" * 30, "let(2)," * 30)):
+        a, b = (count((start + rest).encode()) for rest in (one, other))
+        assert len(set(a[0]) ^ set(b[0])) > 5
+    marks = module.shape_features(b"a" * 70 + b"0-A"), module.shape_features(b"a" * 70 + b"0+A")
+    assert marks[0][0] != marks[1][0]
+    assert module.shape_features(b"a!!!!?")[1] != module.shape_features(b"a!!!!.")[1]
