@@ -66,7 +66,7 @@ def certain_spans(content: bytes) -> list[tuple[int, int, int]]:
     if re.search(rb"[0-9]", content) is None:
         return found
     for m in IP.finditer(content):
-        if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b".")):
+        if all(len(p) <= 3 and int(p or b"0") <= 255 for p in (q.lstrip(b"0") for q in m[0].split(b"."))):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(content):
         number = digits(m[0])

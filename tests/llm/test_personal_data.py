@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from movara.llm import personal_data as module
-from movara.llm.personal_data import KINDS, scan_personal_data, tag_texts, train_model
+from movara.llm.personal_data import certain_spans, KINDS, scan_personal_data, tag_texts, train_model
 from movara.llm.tagger import Tagger, codes
 
 from tests.llm.plain import frame
@@ -130,3 +130,9 @@ def test_awkward_rows(spark):
     rows = scan_personal_data(frame(spark)).collect()
     assert len(rows) == 9
     assert scan_personal_data(frame(spark, [])).count() == 0
+
+
+def test_long_runs_of_zeros():
+    zeros = b"0" * 5000
+    for text, found in ((zeros + b".1.1.1", 1), (b"1.2." + zeros + b"300.4", 0), (zeros + b"." + zeros + b".0.255", 1)):
+        assert len([s for s in certain_spans(text) if s[1] == 1]) == found
