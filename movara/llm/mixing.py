@@ -26,6 +26,17 @@ def length_in_words(content: Column) -> Column:
     return F.coalesce(F.regexp_count(content, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def placed(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with each source's ``place`` by code point, from 0, null last: its own in a range of names and those before."""
+    ranges = sizes.repartitionByRange(F.col("file_name").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    held = saved(ranges)
+    counts = sorted((r["part"], r["count"]) for r in held.groupBy("part").count().collect())
+    before = [(part, sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    offsets = sizes.sparkSession.createDataFrame(before, "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("file_name").asc_nulls_last())) - 1
+    return held.withColumn("own", own).join(F.broadcast(offsets), "part").withColumn("place", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """``sizes`` (file_name, source_size) with each source's ``target`` in words.
 
@@ -33,10 +44,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     target stops at ``most`` times its source, and the excess is shared again by weight until none is above. One row
     a source is ranked; every round reads sums of them.
     """
-    place = F.row_number().over(Window.orderBy(F.col("file_name").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     cap = (F.col("source_size") * F.lit(float(most))).alias("cap")
-    ranked = saved(sizes.select("file_name", "source_size", weight.alias("weight"), cap))
+    ranked = saved(placed(sizes).select("file_name", "source_size", weight.alias("weight"), cap))
     goal = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
     while True:

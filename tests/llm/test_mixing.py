@@ -5,6 +5,9 @@ from itertools import product
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from movara.llm import mixing
 from movara.llm.mixing import fit, knapsack, mix_uploads
 
 from tests.llm.plain import AWKWARD, frame, tokens
@@ -77,3 +80,15 @@ def test_awkward_rows(spark):
     assert mix_uploads(frame(spark, [])).count() == 0
     empty = mix_uploads(frame(spark, [(1, "a", ""), (2, None, None)])).collect()
     assert [(r.source_size, r.target, r.times) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def test_many_sources_are_placed_in_parts(spark):
+    names = [f"file {n * 7919 % 3000:05}" for n in range(3000)] + ["", "Z", "é", None]
+    sizes = spark.createDataFrame([(n, 5) for n in names], "file_name string, source_size long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = mixing.placed(sizes).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.file_name: r.place for r in rows} == {n: i for i, n in enumerate(sorted(names[:-1]) + [None])}
+    assert len({r.task for r in rows}) > 1
