@@ -7,7 +7,6 @@ The library's record is the upload: ``dataset_id``, ``file_name`` and the whole
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from movara.functions.sharing import shared_folder
+
 #: Rows turned into Python objects at once.
 SLICE = 256
 
@@ -52,11 +53,22 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame written once to the cluster's checkpoint folder, so that later steps read it there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="movara-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
+def attached(left: DataFrame, values: DataFrame, key: Sequence[str], salt: Column, parts: int = 64) -> DataFrame:
+    """``left`` with the columns of ``values`` (one row a key; null where there is none).
+
+    A key's rows are dealt to ``parts`` by the hash of ``salt``, and its values are copied once to each part that has rows,
+    so no key is one task's work however many rows it has.
+    """
+    key = list(key)
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64(salt), F.lit(parts)))
+    copies = dealt.select(*key, "__part").distinct().join(values, key)
+    return dealt.join(copies, [*key, "__part"], "left").drop("__part")
+
+
 def hashed_sample(df: DataFrame, place: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of the smallest ``place`` (a 64-bit hash of what tells rows apart).
 

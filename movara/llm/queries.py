@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from movara.functions.sharing import written
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.licences import scan_licences
 from movara.llm.mixing import mix_uploads
 from movara.llm.personal_data import KINDS as PERSONAL
 from movara.llm.personal_data import scan_personal_data
+from movara.llm.prefix_trie import end_digests, prefix_trie, turn_keys
 from movara.llm.quality_votes import fit_votes, score_uploads
 from movara.llm.registry import query
 from movara.llm.secrets import kind_count, scan_secrets, spelled
@@ -279,3 +281,75 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(spell(F.col("certain"))).alias("base_sha256"),
         spell(F.array_sort(F.concat("certain", likely))).alias("spans"),
     )
+
+
+#: The first turns of every hundredth conversation, shared out by a checksum of the borrower's id.
+_CRC32 = """xor(list_reduce(flatten(list_transform(range(1, len(s) + 1), lambda i: [CAST(ascii(s[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295)"""
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, len(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+o AS (SELECT conv_id, key, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM t),
+c AS (SELECT conv_id, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, key, chars FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, key, chars FROM c JOIN o USING (conv_id) WHERE pos > h
+),
+k AS (SELECT conv_id, coalesce(list(key ORDER BY own, pos) FILTER (WHERE key IS NOT NULL), []) AS keys,
+             coalesce(list(chars ORDER BY own, pos) FILTER (WHERE key IS NOT NULL), []) AS sizes FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+v AS (SELECT conv_id, d, len(keys) AS n, array_to_string(keys[1:d], '') AS node, array_to_string(keys[1:d - 1], '') AS parent,
+             CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS chars
+      FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM k)),
+g AS (SELECT node, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(parent) AS parent, any_value(chars) AS chars, count(*) AS n,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = v.n), '')) AS ends FROM v GROUP BY node),
+e AS (SELECT g.*, (SELECT count(*) FROM g x WHERE x.parent = g.node AND x.depth = g.depth + 1) AS kids FROM g),
+s AS (SELECT a.node, count(*) FILTER (WHERE b.kids = 0) AS leaves, sum((b.n - 1) * b.chars) AS saved
+      FROM e a JOIN e b ON starts_with(b.node, a.node) GROUP BY a.node)
+SELECT e.conv_id, CAST(e.depth AS BIGINT) AS depth, CASE WHEN e.depth > 0 THEN p.conv_id END AS parent_conv_id, e.n AS n_convs, e.kids AS n_children,
+       s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN s USING (node) LEFT JOIN g p ON p.node = e.parent AND p.depth = e.depth - 1
+"""
+
+
+def rebuilt_turns(keys: DataFrame) -> DataFrame:
+    """Turns (``conversation_id``, ``turn``, ``key``, ``chars``, ``row``) with the start of each conversation borrowed.
+
+    A conversation takes the first turns of every hundredth one, as many as its id's checksum says, in the place of its own.
+    Own turns that give way stay as rows without key, so that the conversation is known.
+    """
+    first = F.row_number().over(Window.partitionBy("conversation_id").orderBy("turn", "key", "row"))
+    starts = keys.withColumn("place", first).where("place <= 5").select("conversation_id", "place", "key", "chars", "row")
+    borrowed = (F.crc32(F.col("conversation_id").cast("string").cast("binary")) % 6).cast("int")
+    known = keys.select("conversation_id").distinct().withColumn("borrowed", borrowed)
+    base = (F.col("conversation_id") - F.col("conversation_id") % 100).alias("base")
+    lent = starts.where("conversation_id % 100 = 0").withColumnRenamed("conversation_id", "base")
+    heads = known.select("conversation_id", "borrowed", base).join(lent, "base").where("place <= borrowed")
+    dropped = starts.join(known, "conversation_id").where("place <= borrowed").select("row", F.lit(True).alias("dropped"))
+    own = keys.join(dropped, "row", "left").select(
+        "conversation_id", F.lit(1).alias("part"), "turn", F.when(F.col("dropped").isNull(), F.col("key")).alias("key"), "chars", "row"
+    )
+    return own.unionByName(
+        heads.select("conversation_id", F.lit(0).alias("part"), F.col("place").cast("long").alias("turn"), "key", "chars", "row")
+    )
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conversation_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content")
+    )
+    keys = turn_keys(turns, "conversation_id", "turn").withColumn("row", F.monotonically_increasing_id())
+    trie = prefix_trie(rebuilt_turns(written(keys, "turn-keys")), ["part", "turn", "key", "row"])
+    return end_digests(trie).select(
+        F.col("conversation_id").alias("conv_id"),
+        F.col("depth").cast("long").alias("depth"),
+        F.col("parent_id").alias("parent_conv_id"),
+        F.col("n_conversations").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved_chars").alias("saved_tokens"),
+        "ends_sha256",
+    )
