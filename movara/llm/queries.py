@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from movara.functions.sharing import written
+from movara.llm.collocations import collocations
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
 from movara.llm.licences import scan_licences
@@ -353,3 +354,42 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("saved_chars").alias("saved_tokens"),
         "ends_sha256",
     )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k AS words, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k)) GROUP BY ALL
+),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND a >= 30),
+s AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.words = k AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.words = c.words - k AND r.phrase = array_to_string(ws[k + 1 :], ' ')
+),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, phrase, max(a) AS cover
+  FROM (SELECT lang, a, array_to_string(ws[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS m FROM c))) GROUP BY ALL
+),
+x AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN o USING (lang, phrase) WHERE cover IS NULL OR CAST(100 AS HUGEINT) * cover < CAST(80 AS HUGEINT) * a
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM x JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("content"))
+    return collocations(texts, by="lang", least=30, most=2000, covered=80)
