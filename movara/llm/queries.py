@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from movara.functions.sharing import written
+from movara.functions.sharing import shared_folder, written
 from movara.llm.collocations import collocations
 from movara.llm.common import table, uploads
 from movara.llm.decontaminate import decontaminate
@@ -21,6 +21,7 @@ from movara.llm.shards import shard_uploads
 from movara.llm.simhash import near_copies
 from movara.llm.url_filter import DEPTH, DIFFERENT, REJECTED, SMOOTHING, VARIABLE, judge_urls
 from movara.llm.vector_search import top_inner_products
+from movara.llm.web_archive import convert_arcs, read_warc, write_arc
 
 
 def digest(column) -> F.Column:
@@ -393,3 +394,30 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM x JOI
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").alias("content"))
     return collocations(texts, by="lang", least=30, most=2000, covered=80)
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+  FROM pages
+),
+b AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT)) AS v FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN top END AS refers_to
+FROM b
+"""
+
+
+@query("op11_web_archive", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("long").alias("capture_id"), "url", F.lit(None).cast("timestamp").alias("captured_at"), F.col("html").alias("payload")
+    )
+    arc, warc = shared_folder(spark, "arc"), shared_folder(spark, "warc")
+    write_arc(captures, arc)
+    convert_arcs(spark, arc, warc)
+    return read_warc(spark, warc).where("record_type IN ('response', 'revisit')").select(
+        F.col("capture_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_capture").alias("refers_to")
+    )
