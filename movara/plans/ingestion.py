@@ -244,6 +244,44 @@ def ingest_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"))
 
 
+# A line read character by character. States: 0 a cell begins, 1 inside a plain cell, 2 inside quotes, 3 after a quote inside quotes.
+# ``o`` is the text with dividing separators marked; ``q`` is the same if the quote that opened the cell never closes, ``t`` the state there.
+_PLAIN_CHAR = """CASE WHEN c = sep THEN {'s': 0, 'o': a.o || chr(30), 't': 0, 'q': ''} ELSE {'s': 1, 'o': a.o || c, 't': 0, 'q': ''} END"""
+_CELL_STEP = f"""CASE
+  WHEN a.s = 0 AND c = '"' THEN {{'s': 2, 'o': a.o, 't': 1, 'q': a.o || c}}
+  WHEN a.s IN (0, 1) OR (a.s = 3 AND c <> '"') THEN {_PLAIN_CHAR}
+  ELSE {{'s': CASE WHEN c = '"' AND a.s = 2 THEN 3 ELSE 2 END,
+        'o': CASE WHEN c = '"' AND a.s = 2 THEN a.o ELSE a.o || c END,
+        't': CASE WHEN a.t = 2 OR (a.t = 3 AND c = '"') THEN CASE WHEN a.t = 2 AND c = '"' THEN 3 ELSE 2 END
+                  WHEN a.t = 0 AND c = '"' THEN 2 WHEN c = sep THEN 0 ELSE 1 END,
+        'q': CASE WHEN (a.t = 0 OR a.t = 2) AND c = '"' THEN a.q WHEN a.t < 2 AND c = sep THEN a.q || chr(30)
+                  WHEN a.t = 3 AND c = sep THEN a.q || chr(30) ELSE a.q || c END}} END"""
+
+
+@query(
+    "cell_tokens",
+    f"""WITH lines AS (
+  SELECT 'documents' AS "table", doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+  UNION ALL SELECT 'pages', page_id, unnest(string_split(html, chr(10))), generate_subscripts(string_split(html, chr(10)), 1) - 1 FROM pages
+),
+read AS (SELECT "table", id, line_no, sep, list_reduce(string_split(line, ''), lambda a, c: {_CELL_STEP}, {{'s': 0, 'o': '', 't': 0, 'q': ''}}) AS f, line
+         FROM lines, (VALUES (','), (';'), (chr(9)), ('|')) AS seps(sep)),
+cells AS (SELECT "table", id, line_no, sep, CASE WHEN line = '' THEN '' WHEN f.s = 2 THEN f.q ELSE f.o END AS cells FROM read)
+SELECT "table", id, CAST(line_no AS INTEGER) AS line_no, sep AS separator, CAST(len(string_split(cells, chr(30))) AS INTEGER) AS n_cells, md5(cells) AS cells_md5 FROM cells""",
+)
+def cell_tokens(spark, sf_dir):
+    """Every line of the documents and of the pages' sources, cut at each separator."""
+    split = lambda text: F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+    lines = table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), F.col("doc_id").alias("id"), split("text")).unionByName(
+        table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), F.col("page_id").alias("id"), split("html"))
+    )
+    readings = F.array(*[F.struct(F.lit(s).alias("separator"), I.split_cells(F.col("line"), s).alias("cells")) for s in I.SEPARATORS])
+    digest = F.md5(F.array_join("cells", "\x1e").cast("binary"))
+    return lines.select("table", "id", "line_no", F.inline(readings)).select(
+        "table", "id", "line_no", "separator", F.size("cells").alias("n_cells"), digest.alias("cells_md5")
+    )
+
+
 _DATE_COLUMNS = {
     "data_pedido": ("F", "strftime(o_orderdate, '%d/%m/%Y')"),
     "emissao": ("F", "strftime(o_orderdate, '%Y-%m-%d')"),

@@ -39,6 +39,58 @@ def test_folder_ingest(spark, tmp_path):
     assert short.count() == 6 and short.columns == ["produto", "valor"]
 
 
+def plain_cells(line, separator):
+    """Cells read character by character; a quote that never closes is a plain character."""
+    cells, at = [], 0
+    while True:
+        text, i = "", at
+        if line[i : i + 1] == '"':
+            i += 1
+            while i < len(line) and (line[i] != '"' or line[i + 1 : i + 2] == '"'):
+                text, i = text + line[i], i + (2 if line[i] == '"' else 1)
+            if i < len(line):
+                i += 1
+            else:
+                text, i = "", at
+        end = line.find(separator, i)
+        end = len(line) if end < 0 else end
+        cells.append(text + line[i:end])
+        if end == len(line):
+            return cells
+        at = end + len(separator)
+
+
+def test_split_cells(spark):
+    import itertools
+    import random
+
+    draw = random.Random(7)
+    lines = ["".join(p) for n in range(5) for p in itertools.product('",a', repeat=n)]
+    lines += ["".join(draw.choice('",;a\nb\\ ') for _ in range(draw.randrange(40))) for _ in range(400)]
+    lines = [(i, line) for i, line in enumerate(lines)] + [(-1, None)]
+    for separator in (",", ";", "|", "\t"):
+        frame = spark.createDataFrame(lines, "i int, line string").select("i", I.split_cells(F.col("line"), separator).alias("cells"))
+        got = {r.i: r.cells for r in frame.collect()}
+        assert got.pop(-1) is None
+        for i, line in lines[:-1]:
+            assert got[i] == plain_cells(line, separator), (separator, line)
+
+
+def test_wide_lines(spark, tmp_path):
+    """A line of very many quoted cells, of doubled quotes, of open quotes: linear time, no deep stack."""
+    n = 100_000
+    lines = {"quoted": ",".join(['"a,b"'] * n), "doubled": '"' + '""' * n + '",x', "open": '"' + "a," * n, "pairs": "a," + '"",' * n, "opens": ',""""' * n + '"x'}
+    frame = spark.createDataFrame(list(lines.items()), "name string, line string")
+    got = {r.name: (r.n, r.first, r.last) for r in frame.select("name", I.split_cells(F.col("line"), ",").alias("c")).select(
+        "name", F.size("c").alias("n"), F.get("c", F.lit(0)).alias("first"), F.element_at("c", -1).alias("last")).collect()}
+    assert got["quoted"] == (n, "a,b", "a,b") and got["doubled"] == (2, '"' * n, "x") and got["open"] == (n + 1, '"a', "")
+    assert got["pairs"] == (n + 2, "a", "") and got["opens"] == (n + 1, "", '"""""x')
+    head = ",".join(f'"name {i}"' for i in range(2500))
+    write(tmp_path, "wide.csv", head + "\n" + ",".join(f'"{i},5"' for i in range(2500)) + "\n" + ",".join(["7"] * 2500) + "\n")
+    report, body = I.ingest(spark, str(tmp_path))
+    assert report.first().parsed_columns == 2500 and body.select(F.size("cells")).first()[0] == 2500
+
+
 def test_names_and_cells(spark):
     assert I.unique_names(spark, ["﻿a", "", "a", None, "Unnamed: 3", "a"]) == ["a", "coluna_2", "a_2", "coluna_4", "coluna_5", "a_3"]
     assert I.unique_names(spark, ["a", "a", "a_2", "a"]) == ["a", "a_3", "a_2", "a_4"]
