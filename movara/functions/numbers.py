@@ -23,7 +23,7 @@ def number_text(value, strict: bool = False) -> Column:
     signed = F.when(text.startswith("(") & text.endswith(")"), F.concat(F.lit("-"), bare)).otherwise(bare)
     plain = let(signed, _decimal_point)
     if strict:
-        return F.when(~text.rlike(r"(?i)^\(?\s*(?:[a-z]{1,3}\$|us\$|eur|brl|usd)?.*[a-z]"), plain)
+        return F.when(~text.rlike(r"(?i)^\(?\s*(?:[a-z]{1,3}\$|us\$|eur|brl|usd)?+.*[a-z]"), plain)
     return plain
 
 

@@ -235,15 +235,6 @@ def header_in_data(spark, sf_dir):
     return I.header_in_data(first.select("file", cells.alias("cells")), "file", "cells")
 
 
-@query(
-    "ingest_json",
-    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-)
-def ingest_json(spark, sf_dir):
-    parsed = F.from_json("props", "k BIGINT")
-    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"))
-
-
 # A line read character by character. States: 0 a cell begins, 1 inside a plain cell, 2 inside quotes, 3 after a quote inside quotes.
 # ``o`` is the text with dividing separators marked; ``q`` is the same if the quote that opened the cell never closes, ``t`` the state there.
 _PLAIN_CHAR = """CASE WHEN c = sep THEN {'s': 0, 'o': a.o || chr(30), 't': 0, 'q': ''} ELSE {'s': 1, 'o': a.o || c, 't': 0, 'q': ''} END"""
