@@ -90,6 +90,14 @@ def strip_accents(value) -> Column:
     )
 
 
+def folded(value) -> Column:
+    """The text compared without accents and capitals: groups, joins and filters on it take spellings together.
+
+    The text itself stays as it is; no row is rewritten.
+    """
+    return F.collate(as_col(value).cast("string"), "UNICODE_CI_AI")
+
+
 def normalize(value, separator: str = "_") -> Column:
     """Accent-free lower-case text where runs of other characters become the separator."""
     text = F.lower(strip_accents(value))

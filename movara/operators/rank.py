@@ -6,23 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from movara.functions.columns import as_col, long_form, round_to
+from movara.functions.text import folded as without_accents
 from movara.functions.text import normalize
 
 
-def rank_by_sum(df: DataFrame, group: str, metric: str, limit: int = 5, ascending: bool = False) -> DataFrame:
+def named_groups(df: DataFrame, group: str, folded: bool, total: Column) -> DataFrame:
+    """``name`` and a total of each group; ``folded`` takes spellings together under the first of them."""
+    text = F.col(group).cast("string")
+    if not folded:
+        return df.groupBy(text.alias("name")).agg(total)
+    return df.groupBy(without_accents(group).alias("_folded")).agg(F.min(text).alias("name"), total).drop("_folded")
+
+
+def rank_by_sum(df: DataFrame, group: str, metric: str, limit: int = 5, ascending: bool = False, folded: bool = False) -> DataFrame:
     """Top groups by total; rows without a group or a metric are left out. Ties go to the name."""
     valid = df.where(F.col(group).isNotNull() & F.col(metric).isNotNull())
-    totals = valid.groupBy(F.col(group).cast("string").alias("name")).agg(F.sum(metric).cast("double").alias("total"))
+    totals = named_groups(valid, group, folded, F.sum(metric).cast("double").alias("total"))
     order = F.asc("total") if ascending else F.desc("total")
     return totals.orderBy(order, "name").limit(limit)
 
 
-def rank_by_count(df: DataFrame, group: str, limit: int = 5, ascending: bool = False) -> DataFrame:
-    counts = (
-        df.where(F.col(group).isNotNull())
-        .groupBy(F.col(group).cast("string").alias("name"))
-        .agg(F.count("*").alias("records"))
-    )
+def rank_by_count(df: DataFrame, group: str, limit: int = 5, ascending: bool = False, folded: bool = False) -> DataFrame:
+    counts = named_groups(df.where(F.col(group).isNotNull()), group, folded, F.count("*").alias("records"))
     order = F.asc("records") if ascending else F.desc("records")
     return counts.orderBy(order, "name").limit(limit)
 
