@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from movara.functions.columns import round_to, stacked
@@ -223,3 +225,34 @@ def write_tables(tables: dict[str, DataFrame], path: str, metadata: DataFrame |
         df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}")
     if metadata is not None:
         metadata.write.mode("overwrite").json(f"{path}/metadata")
+
+
+def write_package(tables: Mapping[str, DataFrame], path: str, partitions: Mapping[str, Sequence[str]] | None = None, about: Mapping[str, str] | None = None) -> None:
+    """Every result as a headed CSV table, with a manifest of what was written.
+
+    A table with ``partitions`` is laid out by these columns, and a later package replaces only the partitions that it has
+    rows of, so a month can be delivered again by itself. The manifest, one JSON row a table, has the rows (counted by the
+    write), the schema, the partition columns and ``about``.
+    """
+    entries, partitions = [], partitions or {}
+    spark = None
+    for name, df in tables.items():
+        spark, by, seen = df.sparkSession, list(partitions.get(name, ())), Observation(name)
+        counted = df.observe(seen, F.count("*").alias("rows"))
+        writer = counted.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("partitionOverwriteMode", "dynamic")
+        (writer.partitionBy(*by) if by else writer).csv(f"{path}/{name}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        entries.append((name, seen.get["rows"], schema, by, dict(about or {})))
+    if spark is not None:
+        manifest = spark.createDataFrame(entries, "table string, rows long, schema string, partitions array<string>, about map<string,string>")
+        manifest.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a package under their schemas, as the manifest names them, and the ``manifest`` itself."""
+    manifest = spark.read.schema("table string, rows long, schema string, partitions array<string>, about map<string,string>").json(f"{path}/manifest")
+    tables = {"manifest": manifest}
+    for entry in manifest.collect():
+        columns = spark.createDataFrame([], entry.schema).schema
+        tables[entry.table] = spark.read.schema(columns).option("header", True).csv(f"{path}/{entry.table}").select(columns.fieldNames())
+    return tables

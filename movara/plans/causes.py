@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movara.functions.columns import exact_sum, round_to
 from movara.functions.labels import movement_severity as severity
-from movara.functions.sharing import checkpoint_dir, shared
+from movara.functions.sharing import shared, shared_folder
 from movara.operators import periods as P
 from movara.operators import rootcause as R
 from movara.plans import sql as S
@@ -65,7 +64,16 @@ def impact_ranking(spark, sf_dir):
 _CON = "dimension, name, round(current_value, 2) AS current_value, round(previous_value, 2) AS previous_value, round(delta, 2) AS delta"
 
 
-@query("contrib_outer", S.ROOT + f" SELECT {_CON} FROM con")
+_BOTH_MONTHS = """,
+e AS (SELECT d.dimension, d.name, period, amount
+      FROM m, LATERAL (VALUES ('product_type', product_type), ('segment', segment), ('region', region), ('brand', brand)) AS d(dimension, name)
+      WHERE d.name IS NOT NULL AND period IN (SELECT unnest([period, prev_period]) FROM focus)),
+con AS (SELECT dimension, name, current_value, previous_value, current_value - previous_value AS delta FROM (
+  SELECT dimension, name, coalesce(CAST(sum(amount) FILTER (WHERE period = (SELECT period FROM focus)) AS DOUBLE), 0) AS current_value,
+         coalesce(CAST(sum(amount) FILTER (WHERE period = (SELECT prev_period FROM focus)) AS DOUBLE), 0) AS previous_value FROM e GROUP BY ALL))"""
+
+
+@query("contrib_outer", S.CLOSED + _BOTH_MONTHS + f" SELECT {_CON} FROM con")
 def contrib_outer(spark, sf_dir):
     moves, _ = entity_frames(spark, sf_dir)
     figures = [round_to(c, 2).alias(c) for c in ("current_value", "previous_value", "delta")]
@@ -195,13 +203,20 @@ def concentration(spark, sf_dir):
 FLAGS = ("line_status", "return_flag", "order_status")
 
 
+#: Flags of a line, and whether it is a bulk line: few names, so that one of them carries most of a movement.
+ALERTED = (*FLAGS, "size_class")
+_SIZE_CLASS = "CASE WHEN l_quantity >= 45 THEN 'bulk' ELSE 'regular' END AS size_class"
+
+
 @query(
     "concentration_alerts",
-    S.root(FLAGS) + " SELECT dimension, name, share_abs, concentration AS level FROM top WHERE position = 1 AND share_abs >= 0.6",
+    S.root(ALERTED).replace("r_name AS region", f"r_name AS region, {_SIZE_CLASS}", 1)
+    + " SELECT dimension, name, share_abs, concentration AS level FROM top WHERE position = 1 AND share_abs >= 0.6",
 )
 def concentration_alerts(spark, sf_dir):
-    rows = sales_mart(spark, sf_dir, "period", "amount", *FLAGS)
-    return R.concentration_alerts(R.contributors(rows, AnalysisSpec(dimensions=FLAGS)))
+    rows = sales_mart(spark, sf_dir, "period", "amount", "quantity", *FLAGS)
+    classed = rows.withColumn("size_class", F.when(F.col("quantity") >= 45, "bulk").otherwise("regular"))
+    return R.concentration_alerts(R.contributors(classed, AnalysisSpec(dimensions=ALERTED)))
 
 
 LEADS = """, leads AS (SELECT dimension, name, share_abs, recurrence, concentration, hist_mean, hist_delta,
@@ -324,7 +339,7 @@ def export_bi(spark, sf_dir):
     from movara.operators.export import monthly_rows, write_tables
 
     rows = monthly_rows(closed_series(spark, sf_dir, supports=True), SPEC)
-    folder = f"{checkpoint_dir(spark) or tempfile.mkdtemp(prefix='movara-bi-')}/{uuid.uuid4()}"
+    folder = shared_folder(spark, "bi")
     write_tables({"monthly": rows}, folder)
     return spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/monthly")
 
@@ -448,3 +463,72 @@ def evidence_bundle(spark, sf_dir):
     from movara.operators.export import evidence_bundle as bundle
 
     return bundle(closed_series(spark, sf_dir, supports=True), top(spark, sf_dir), SPEC)
+
+
+def _evidence_sql() -> str:
+    """The lists of the bundle, one row an entry, from the twins of what they are made of."""
+    from movara.plans import periods  # noqa: F401 - registers the twin of the drivers
+    from movara.plans.registry import ORACLES
+
+    moves = "period AS name, round(value, 4) AS first, round(delta, 4) AS second, round(zscore, 4) AS third"
+    return f"""SELECT 'movements' AS list, row_number() OVER (ORDER BY name) AS position, * FROM (
+  {S.CLOSED} SELECT {moves} FROM v WHERE delta IS NOT NULL ORDER BY period DESC LIMIT 12)
+UNION ALL SELECT 'abnormal', place, name, first, second, third FROM (
+  {S.CLOSED}, cut AS (SELECT coalesce(greatest(quantile_cont(abs(pct), 0.8), 0.25), 0.25) AS threshold FROM v WHERE delta IS NOT NULL)
+  SELECT {moves}, row_number() OVER (ORDER BY abs(delta) DESC, period) AS place FROM v, cut
+  WHERE delta IS NOT NULL AND (abs(pct) >= threshold OR coalesce(abs(zscore), 0) >= 2)) WHERE place <= 8
+UNION ALL SELECT 'drivers', row_number() OVER (ORDER BY abs(coalesce(correlation, 0)) DESC, driver), driver, current_value, delta, correlation FROM ({ORACLES["driver_evidence"]})
+UNION ALL SELECT 'impact', impact_rank, dimension || ': ' || name, delta, share_abs, NULL FROM ({ORACLES["impact_ranking"]}) WHERE impact_rank <= 8"""
+
+
+@query("evidence_items", _evidence_sql())
+def evidence_items(spark, sf_dir):
+    """The evidence bundle read back from its one JSON document, one row an entry of its lists."""
+    entry = "period string, value double, delta double, zscore double, driver string, current_value double, correlation double, dimension string, name string, share_abs double"
+    lists = ("movements", "abnormal", "drivers", "impact")
+    schema = ", ".join(f"{n} array<struct<{', '.join(f'{p.split()[0]}: {p.split()[1]}' for p in entry.split(', '))}>>" for n in lists)
+    read = evidence_bundle(spark, sf_dir).select(F.from_json("evidence", schema).alias("e"))
+    rows = []
+    for name in lists:
+        third = {"drivers": "correlation", "impact": None}.get(name, "zscore")
+        item = lambda c: F.col(f"item.{c}")
+        named = {"drivers": item("driver"), "impact": F.concat_ws(": ", item("dimension"), item("name"))}.get(name, item("period"))
+        first = {"drivers": "current_value", "impact": "delta"}.get(name, "value")
+        second = {"impact": "share_abs"}.get(name, "delta")
+        rows.append(
+            read.select(F.posexplode(f"e.{name}").alias("at", "item")).select(
+                F.lit(name).alias("list"), (F.col("at") + 1).cast("long").alias("position"), named.alias("name"), item(first).alias("first"),
+                item(second).alias("second"), item(third).alias("third") if third else F.lit(None).cast("double").alias("third"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+#: Tables of the package with a figure to add up.
+_PACKAGE = {"monthly": "value", "root_cause": "delta", "dimension": "top_1", "indicators": "measure", "charts": "y"}
+
+
+def _package_sql() -> str:
+    from movara.plans.registry import ORACLES
+
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", count(*) AS rows, count(*) AS manifest_rows, round(sum({figure}), 2) AS total FROM ({ORACLES["export_" + name]})"""
+        for name, figure in _PACKAGE.items()
+    )
+
+
+@query("export_package", _package_sql())
+def export_package(spark, sf_dir):
+    """All result tables of an analysis delivered as one package and read back by its manifest."""
+    from movara.operators.export import read_package, write_package
+
+    makers = {"monthly": export_monthly, "root_cause": export_root_cause, "dimension": export_dimension, "indicators": export_indicators, "charts": export_charts}
+    folder = shared_folder(spark, "package")
+    about = {"metric": SPEC.metric, "dimensions": ", ".join(SPEC.dimensions)}
+    write_package({name: make(spark, sf_dir) for name, make in makers.items()}, folder, {"monthly": ["year"], "charts": ["chart"]}, about)
+    tables = read_package(spark, folder)
+    known = tables["manifest"].select("table", F.col("rows").alias("manifest_rows"))
+    sums = [
+        tables[n].agg(F.lit(n).alias("table"), F.count("*").alias("rows"), round_to(F.sum(figure), 2).alias("total")) for n, figure in _PACKAGE.items()
+    ]
+    return reduce(DataFrame.unionByName, sums).join(known, "table")
