@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from movara.functions.joins import attached
 from movara.functions.sharing import written
-from movara.llm.common import attached
 
 #: Words of the longest phrase; a chunk sees one less of the next chunk's words.
 LONGEST = 4
 #: One word in so many ends a chunk; no chunk has more own words than the most.
-EVERY, MOST = 16, 64
+EVERY, MOST = 32, 64
 #: Bytes of text turned into words at once.
 SLICE_BYTES = 1 << 22
 #: Bits of the table that tells ruled-out hashes, a power of two: 8 MB. More frequent phrases than bits only rule out less.
@@ -112,7 +112,7 @@ def chunks_of(texts: list[bytes | None], groups: list) -> Counter:
 
 
 def dictionary(uploads: DataFrame, by: str) -> DataFrame:
-    """Distinct chunks: ``by``, ``own`` (words that start a phrase here), ``chunk`` and ``times``."""
+    """Distinct chunks: ``by``, ``own`` (words that start a phrase here), ``chunk``, ``times`` and ``hashes`` (32 bits a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,193 +126,173 @@ def dictionary(uploads: DataFrame, by: str) -> DataFrame:
 
     read = uploads.select(F.col(by).alias("by"), F.col("content").cast("binary").alias("content"))
     found = read.mapInArrow(run, "by string, own int, chunk binary, times long")
-    return written(found.groupBy("by", "own", "chunk").agg(F.sum("times").alias("times")), "phrase-chunks")
+    distinct = found.groupBy("by", "own", "chunk").agg(F.sum("times").alias("times"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunk_slices(batches, 2):
+            chunks = part.column(2).to_pylist()
+            codes, names = coded(b" ".join(chunks).split(b" "))
+            hashes = (word_hashes(names) >> np.uint64(32)).astype(np.uint32)[codes]
+            ends = np.cumsum([c.count(b" ") + 1 for c in chunks]) * 4
+            offsets = pa.py_buffer(np.append(0, ends).astype(np.int32))
+            column = pa.Array.from_buffers(pa.binary(), len(chunks), [None, offsets, pa.py_buffer(hashes)])
+            yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "hashes"])
+
+    return written(distinct.mapInArrow(hashed, "by string, own int, chunk binary, times long, hashes binary"), "phrase-chunks")
+
+
+def chunk_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, end in slices(pc.binary_length(batch.column(column)).to_pylist()):
+            yield batch.slice(start, end - start)
 
 
 class Words:
-    """The words of some chunks as arrays: codes, own starts, group hashes, weights."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        chunks = batch.column(2).to_pylist()
-        tokens = b" ".join(chunks).split(b" ")
-        self.codes, self.names = coded(tokens)
-        self.groups = batch.column(0).to_pylist()
-        sizes = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        self.chunk = np.repeat(np.arange(len(chunks)), sizes)
-        first = np.cumsum(sizes) - sizes
-        offset = np.arange(len(tokens)) - first[self.chunk]
-        self.starts = offset < batch.column(1).to_numpy()[self.chunk]
+    """The words of some chunks (``by``, ``own``, ``times``, ``hashes``) as arrays: hashes, own starts, groups, weights."""
+
+    def __init__(self, part: pa.RecordBatch):
+        hashes = part.column(3)
+        sizes = pc.binary_length(hashes).to_numpy() // 4
+        self.hashes = np.frombuffer(b"".join(hashes.to_pylist()), np.uint32).astype(np.uint64) * MIX[1]
+        self.chunk = np.repeat(np.arange(len(sizes)), sizes)
+        offset = np.arange(len(self.hashes)) - (np.cumsum(sizes) - sizes)[self.chunk]
+        self.starts = offset < part.column(1).to_numpy()[self.chunk]
         self.left = sizes[self.chunk] - offset
-        self.times = batch.column(3).to_numpy()[self.chunk]
-        group_hash = {g: np.uint64(xxhash.xxh64_intdigest(g or b"", seed=SEED + 1 + (g is None))) for g in set(self.groups)}
-        self.group_hash = np.array([group_hash[g] for g in self.groups], np.uint64)[self.chunk]
-        self.hashes = word_hashes(self.names)[self.codes]
+        self.times = part.column(2).to_numpy()[self.chunk]
+        found = part.column(0).dictionary_encode()
+        self.groups = [*found.dictionary.to_pylist(), None]
+        self.group = found.indices.fill_null(len(self.groups) - 1).to_numpy(zero_copy_only=False).astype(np.int64)[self.chunk]
+        salts = [xxhash.xxh64_intdigest(g or b"", seed=SEED + 1 + (g is None)) for g in self.groups]
+        self.salt = np.array(salts, np.uint64)[self.group]
 
     def phrases(self, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where a phrase of so many words begins, and every place's hash as if one did."""
-        hashes = mixed(self.hashes + self.group_hash)
+        """Where a phrase of so many words fits, and every place's hash as if one did."""
+        hashes = mixed(self.hashes + self.salt)
         for k in range(1, words):
             following = np.zeros_like(hashes)
             following[:-k] = self.hashes[k:]
-            hashes = mixed(hashes * MIX[0] + following * MIX[1])
+            hashes = mixed(hashes * MIX[0] + following)
         return self.left >= words, hashes
 
 
-def chunk_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    for batch in batches:
-        for start, end in slices(pc.binary_length(batch.column(2)).to_pylist()):
-            yield Words(batch.slice(start, end - start))
-
-
-class Table:
-    """One bit for each hash of a phrase that may be frequent; its size is fixed."""
-
-    def __init__(self, hashes: DataFrame):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-            for batch in batches:
-                at, bit = Table.place(batch.column(0).to_numpy().view(np.uint64))
-                np.bitwise_or.at(bits, at, bit)
-            for piece, own in enumerate(bits.reshape(128, -1)):
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["piece", "bits"])
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            piece, bits = None, None
-            found = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
-            for batch in batches:
-                for number, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if number == piece:
-                        bits = bits | np.frombuffer(own, np.uint8)
-                        continue
-                    if piece is not None:
-                        yield found()
-                    piece, bits = number, np.frombuffer(own, np.uint8)
-            if piece is not None:
-                yield found()
-
-        made = hashes.mapInArrow(run, "piece int, bits binary").repartition("piece").sortWithinPartitions("piece")
-        bits = np.zeros((128, 1 << (TABLE_BITS - 10)), np.uint8)
-        for row in made.mapInArrow(merge, "piece int, bits binary").collect():
-            bits[row.piece] = np.frombuffer(row.bits, np.uint8)
-        self.bits = bits.reshape(-1)
-
-    @staticmethod
-    def place(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = hashes >> np.uint64(64 - TABLE_BITS)
-        return (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at, bit = self.place(hashes)
-        return self.bits[at] & bit > 0
-
-
-def shifted(flags: np.ndarray, by: int = 1) -> np.ndarray:
-    moved = np.zeros_like(flags)
-    moved[:-by] = flags[by:]
-    return moved
-
-
-def open_phrases(words: Words, tables: list[Table], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, places, hashes) of the phrases up to ``longest`` that no table rules out; ``tables`` are of one word, two and so on."""
+def place(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cell = hashes >> np.uint64(64 - TABLE_BITS)
+    return (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8)
+
+
+def held_by(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at, bit = place(hashes)
+    return table[at] & bit > 0
+
+
+def table_of(hashes: DataFrame) -> np.ndarray:
+    """One bit for each hash of a phrase that may be frequent, set in tasks and merged piece by piece; its size is fixed."""
+
+    def made(piece: int, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+        for batch in batches:
+            at, bit = place(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at, bit)
+        yield from (made(piece, own) for piece, own in enumerate(bits.reshape(128, -1)) if own.any())
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, bits = None, None
+        for batch in batches:
+            for number, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(own, np.uint8)
+                if number != piece and piece is not None:
+                    yield made(piece, bits)
+                piece, bits = number, bits | own if number == piece else own
+        if piece is not None:
+            yield made(piece, bits)
+
+    parts = hashes.mapInArrow(run, "piece int, bits binary").repartition("piece").sortWithinPartitions("piece")
+    table = np.zeros((128, 1 << (TABLE_BITS - 10)), np.uint8)
+    for row in parts.mapInArrow(merge, "piece int, bits binary").collect():
+        table[row.piece] = np.frombuffer(row.bits, np.uint8)
+    return table.reshape(-1)
+
+
+def shifted(flags: np.ndarray) -> np.ndarray:
+    return np.append(flags[1:], False)
+
+
+def open_phrases(words: Words, tables: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, places, hashes) of the phrases up to ``longest`` that no table rules out; the last table also has longer phrases."""
     fits = None
     for n in range(1, longest + 1):
         enough, hashes = words.phrases(n)
         fits = enough if fits is None else fits & shifted(fits) & enough
-        if n <= len(tables):
-            fits = fits & tables[n - 1].holds(hashes)
+        if tables and (n <= len(tables) or len(tables) == LONGEST - 1):
+            fits = fits & held_by(tables[min(n, len(tables)) - 1], hashes)
         yield n, fits, hashes
 
 
-def counted_hashes(chunks: DataFrame, tables: list[Table], longest: int, least: int) -> DataFrame:
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, each with the sum of its times."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times[order], first) if len(keys) else times
+
+
+def counted_hashes(chunks: DataFrame, tables: list[np.ndarray], longest: int, least: int) -> DataFrame:
     """Hashes of phrases of len(tables) + 1 to ``longest`` words that occur ``least`` times or more, collisions included."""
-    held = chunks.sparkSession.sparkContext.broadcast([t.bits for t in tables])
+    held = chunks.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [_table(bits) for bits in held.value]
-        for words in chunk_slices(batches):
-            for n, fits, hashes in open_phrases(words, known, longest):
-                if n > len(known):
+        for part in chunk_slices(batches, 3):
+            words = Words(part)
+            for n, fits, hashes in open_phrases(words, held.value, longest):
+                if n > len(held.value):
                     own = fits & words.starts
-                    keys, number = np.unique(hashes[own], return_inverse=True)
-                    times = np.zeros(len(keys), np.int64)
-                    np.add.at(times, number, words.times[own])
+                    keys, times = summed(hashes[own], words.times[own])
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["key", "times"])
 
-    found = chunks.mapInArrow(run, "key long, times long")
+    found = chunks.select("by", "own", "times", "hashes").mapInArrow(run, "key long, times long")
     return found.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("key")
 
 
-def _table(bits: np.ndarray) -> Table:
-    table = Table.__new__(Table)
-    table.bits = bits
-    return table
-
-
-def counted_phrases(chunks: DataFrame, tables: list[Table], least: int) -> DataFrame:
-    """Phrases of two words and more (``by``, ``words``, ``phrase``, ``times``) that occur ``least`` times or more, exactly."""
-    held = chunks.sparkSession.sparkContext.broadcast([t.bits for t in tables])
+def counted_phrases(chunks: DataFrame, tables: list[np.ndarray], least: int) -> DataFrame:
+    """Phrases (``by``, ``words``, ``phrase``, ``times``) that occur ``least`` times or more, told apart word by word."""
+    held = chunks.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [_table(bits) for bits in held.value]
-        for words in chunk_slices(batches):
-            names, base = words.names, np.int64(len(words.names))
-            group_number = {g: i for i, g in enumerate(dict.fromkeys(words.groups))}
-            code = np.array([group_number[g] for g in words.groups], np.int64)[words.chunk] * base + words.codes
-            for n, fits, _ in open_phrases(words, known, LONGEST):
-                if n > 1:
+        for part in chunk_slices(batches, 4):
+            words = Words(part)
+            codes, names = coded(b" ".join(part.column(4).to_pylist()).split(b" "))
+            for n, fits, _ in open_phrases(words, held.value, LONGEST):
+                own = np.flatnonzero(fits & words.starts)
+                code = words.group[own] * len(names) + codes[own]
+                for k in range(1, n):
                     # numbers of the phrases so far, made dense again before the next word is added
-                    last = np.zeros_like(words.codes)
-                    last[: -(n - 1)] = words.codes[n - 1 :]
-                    code = np.unique(code, return_inverse=True)[1] * base + last
-                    own = np.flatnonzero(fits & words.starts)
-                    _, first, number = np.unique(code[own], return_index=True, return_inverse=True)
-                    times = np.zeros(len(first), np.int64)
-                    np.add.at(times, number, words.times[own])
-                    at = own[first]
-                    texts = [b" ".join([names[c] for c in words.codes[a : a + n].tolist()]) for a in at.tolist()]
-                    arrays = [
-                        pa.array([words.groups[c] for c in words.chunk[at].tolist()], pa.string()),
-                        pa.array(np.full(len(at), n), pa.int32()),
-                        pa.array(texts, pa.binary()),
-                        pa.array(times),
-                    ]
-                    yield pa.RecordBatch.from_arrays(arrays, ["by", "words", "phrase", "times"])
-
-    found = chunks.mapInArrow(run, "by string, words int, phrase binary, times long")
+                    code = np.unique(code, return_inverse=True)[1] * len(names) + codes[own + k]
+                _, first, number = np.unique(code, return_index=True, return_inverse=True)
+                times = np.bincount(number, words.times[own], len(first)).astype(np.int64)
+                at = own[first]
+                texts = [b" ".join([names[c] for c in codes[a : a + n].tolist()]) for a in at.tolist()]
+                arrays = [
+                    pa.array([words.groups[g] for g in words.group[at].tolist()], pa.string()),
+                    pa.array(np.full(len(at), n), pa.int32()),
+                    pa.array(texts, pa.binary()),
+                    pa.array(times),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["by", "words", "phrase", "times"])
+
+    found = chunks.select("by", "own", "times", "hashes", "chunk").mapInArrow(run, "by string, words int, phrase binary, times long")
     return found.groupBy("by", "words", "phrase").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
 
 
 def phrase_counts(chunks: DataFrame, least: int) -> DataFrame:
     """All phrases of one to four words (``by``, ``words``, ``phrase``, ``times``) that occur ``least`` times or more."""
-
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in chunk_slices(batches):
-            group_number = {g: i for i, g in enumerate(dict.fromkeys(words.groups))}
-            group = np.array([group_number[g] for g in words.groups], np.int64)[words.chunk]
-            own = np.flatnonzero(words.starts)
-            code = group[own] * len(words.names) + words.codes[own]
-            keys, first, number = np.unique(code, return_index=True, return_inverse=True)
-            times = np.zeros(len(keys), np.int64)
-            np.add.at(times, number, words.times[own])
-            at = own[first]
-            arrays = [
-                pa.array([words.groups[c] for c in words.chunk[at].tolist()], pa.string()),
-                pa.array([words.names[c] for c in words.codes[at].tolist()], pa.binary()),
-                pa.array(words.phrases(1)[1][at].view(np.int64)),
-                pa.array(times),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["by", "phrase", "key", "times"])
-
-    found = chunks.mapInArrow(singles, "by string, phrase binary, key long, times long")
-    ones = written(found.groupBy("by", "phrase", "key").agg(F.sum("times").alias("times")).where(F.col("times") >= least), "phrase-words")
-    tables = [Table(ones.select("key"))]
-    tables.append(Table(counted_hashes(chunks, tables, 2, least)))
-    tables.append(Table(counted_hashes(chunks, tables, 3, least)))
-    tables.append(Table(counted_hashes(chunks, tables, 4, least)))
-    longer = counted_phrases(chunks, tables, least)
-    ones = ones.select("by", F.lit(1).alias("words"), "phrase", "times")
-    return written(ones.unionByName(longer).withColumn("phrase", F.col("phrase").cast("string")), "phrase-counts")
+    tables = []
+    for longest in (1, 2, LONGEST):
+        tables.append(table_of(counted_hashes(chunks, tables, longest, least)))
+    counts = counted_phrases(chunks, tables, least)
+    return written(counts.withColumn("phrase", F.col("phrase").cast("string")), "phrase-counts")
 
 
 def whole(value: int | Column) -> Column:

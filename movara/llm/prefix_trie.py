@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from movara.functions.joins import attached
 from movara.functions.sharing import written
-from movara.llm.common import attached, saved
+from movara.llm.common import saved
 
 #: A Mersenne prime and the step of the polynomial digest.
 PRIME = (1 << 127) - 1

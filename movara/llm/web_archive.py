@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from movara.functions.joins import attached
 from movara.functions.sharing import written
-from movara.llm.common import attached
 
 # The fields of a header line by ARC version, and what the formats call things.
 ARC_FIELDS = {
