@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from movara.functions.sharing import shared_folder
 
-#: Rows turned into Python objects at once.
-SLICE = 256
+#: Rows, and bytes of text, turned into Python objects at once; a longer text is a slice of its own.
+SLICE, SLICE_BYTES = 256, 8 << 20
 
 #: Bytes of a text after lower-casing A-Z, with every ASCII byte that is no letter or digit made a space.
 WORD_BYTES = bytes(
@@ -57,18 +58,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def attached(left: DataFrame, values: DataFrame, key: Sequence[str], salt: Column, parts: int = 64) -> DataFrame:
-    """``left`` with the columns of ``values`` (one row a key; null where there is none).
-
-    A key's rows are dealt to ``parts`` by the hash of ``salt``, and its values are copied once to each part that has rows,
-    so no key is one task's work however many rows it has.
-    """
-    key = list(key)
-    dealt = left.withColumn("__part", F.pmod(F.xxhash64(salt), F.lit(parts)))
-    copies = dealt.select(*key, "__part").distinct().join(values, key)
-    return dealt.join(copies, [*key, "__part"], "left").drop("__part")
-
-
 def hashed_sample(df: DataFrame, place: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of the smallest ``place`` (a 64-bit hash of what tells rows apart).
 
@@ -88,6 +77,18 @@ def words(content: bytes | None) -> list[bytes]:
     return content.translate(WORD_BYTES).split() if content else []
 
 
+def text_slices(sizes: list, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that are bounded in number and bytes; ``sizes`` may have nulls."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= rows or held + (size or 0) > SLICE_BYTES):
+            yield start, i
+            start, held = i, 0
+        held += size or 0
+    if sizes:
+        yield start, len(sizes)
+
+
 def map_content(
     df: DataFrame,
     carry: Sequence[str],
@@ -98,7 +99,7 @@ def map_content(
     """Append columns computed from ``content``, row by row inside tasks.
 
     ``start`` runs once a task and returns a function from a list of UTF-8 texts (``None`` where
-    missing; ``rows`` at a time) to the new columns; ``fields`` is their schema. Only ``carry`` is kept.
+    missing; ``rows`` at a time, or fewer long ones) to the new columns; ``fields`` is their schema. Only ``carry`` is kept.
     """
     added = T.StructType.fromDDL(fields)
     schema = T.StructType([df.schema[c] for c in carry] + added.fields)
@@ -108,8 +109,8 @@ def map_content(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for at, end in text_slices(pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist(), rows):
+                part = batch.slice(at, end - at)
                 made = step(part.column(part.num_columns - 1).to_pylist())
                 arrays = [part.column(i) for i in range(len(carry))] + [pa.array(made[n], types[n]) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, [*carry, *names])

@@ -16,9 +16,10 @@ from itertools import combinations, islice, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from movara.functions.joins import attached
 from movara.llm.common import map_content, saved
 from movara.llm.components import components
 
@@ -194,28 +195,4 @@ def near_copies(uploads: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
     )
     names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = saved(grouped.join(names, "root").select("fingerprint", F.col("root").alias("group"), "component_id"))
-    return prints.join(named, "fingerprint").select("dataset_id", "content_key", "fingerprint", "group", "component_id")
-
-
-def one_per_group(uploads: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The ``record`` of one upload of each group of near copies: of the smallest id, then content key.
-
-    ``uploads`` also has ``record``, the row to return. Of exactly repeated rows one stays.
-    """
-    return first_of_groups(uploads, near_copies(uploads, shingle, radius))
-
-
-def first_of_groups(uploads: DataFrame, copies: DataFrame) -> DataFrame:
-    """The ``record`` of the first upload of each ``group`` of ``copies`` (``dataset_id``, ``content_key``, ``group``)."""
-    order = F.struct(F.col("dataset_id").isNull(), "dataset_id", "content_key")
-    kept = (
-        copies.groupBy("group")
-        .agg(F.min(order).alias("first"))
-        .select(F.col("first.dataset_id").alias("kept_id"), F.col("first.content_key").alias("kept_key"))
-        .distinct()
-    )
-    texts = uploads.select("dataset_id", F.xxhash64("content").alias("content_key"), "record")
-    same = (F.col("dataset_id").eqNullSafe(F.col("kept_id"))) & (F.col("content_key") == F.col("kept_key"))
-    joined = texts.join(kept, same)
-    copy = F.row_number().over(Window.partitionBy("dataset_id", "content_key").orderBy(F.lit(1)))
-    return joined.withColumn("copy", copy).where("copy = 1").select("record")
+    return attached(prints, named, ["fingerprint"], F.struct("dataset_id", "content_key")).select("dataset_id", "content_key", "fingerprint", "group", "component_id")

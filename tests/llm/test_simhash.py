@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from movara.llm import simhash
 from movara.llm.components import components
-from movara.llm.simhash import close_links, fingerprint, forest, near_copies, one_per_group
+from movara.llm.simhash import close_links, fingerprint, forest, near_copies
 
 from tests.llm.plain import frame, tokens
 
@@ -101,8 +101,6 @@ def test_awkward_rows(spark):
     for r in rows:
         groups.setdefault(r.component_id, []).append(r.dataset_id)
     assert sorted(groups[2]) == [2, 3, 7] and groups[1] == [1, 1] and set(groups[4]) == {4, None}
-    kept = one_per_group(frame(spark).withColumn("record", F.struct("dataset_id", "content"))).select("record.*").collect()
-    assert sorted(r.dataset_id for r in kept) == [1, 2, 4, 5, 6]
     assert near_copies(frame(spark, [])).count() == 0
 
 
