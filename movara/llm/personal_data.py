@@ -1,8 +1,9 @@
 """Personal data in uploads: certain patterns, and what a character LSTM with CRF transitions finds besides.
 
 The model is trained in numpy on labelled spans: written samples of each kind, set into excerpts of the uploads
-themselves. Every text is cut into overlapping windows; all are decoded, each character takes the label of the window in which it lies
-farther from the edge, and spans are joined again over the whole text.
+themselves. Every text is cut into overlapping windows and all are decoded. What neighbouring windows find in their common part is
+reconciled over the whole text: a span counts as the window saw it in which it lies farthest from the cuts, and pieces that run over
+cuts are joined.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from movara.llm.common import hashed_sample, map_content
 from movara.llm.tagger import Tagger, codes, train
 
 KINDS = ("email", "ip", "card", "phone")
-#: Window, and what neighbours share of it.
-WINDOW, OVERLAP = 256, 32
+#: Window, and what neighbours share of it: more than twice the longest item (39 characters), so that one of them sees it with its surroundings.
+WINDOW, OVERLAP = 512, 96
 #: Windows run together.
-AT_ONCE = 2048
+AT_ONCE = 1024
 #: Excerpts that the training takes from the uploads, and their characters, at most.
 EXCERPTS, EXCERPT = 200, 2000
 TRAINED, LENGTH, HELD_OUT = 3000, 96, 400
@@ -182,8 +183,34 @@ def held_out_accuracy(model: Tagger, excerpts: list[str]) -> dict[str, float]:
 # --- decoding -----------------------------------------------------------------------------------------------------
 
 
-def tag_texts(model: Tagger, texts: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> list[np.ndarray | None]:
-    """A tag for every character of every text; ``None`` for a text without any."""
+def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of one tag as (start, kind number, end)."""
+    cuts = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
+    return [(int(a), int(tags[a]) - 1, int(b)) for a, b in zip(cuts, cuts[1:]) if tags[a]]
+
+
+def reconciled(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of a text from what its windows found, in the windows' order: (start, kind, end, window's start, window's end).
+
+    The ends of the text are no cuts. Pieces that reach a cut and go on in the next window are one span. Of spans that overlap the one
+    farther from the cuts of its window stays.
+    """
+    whole: list[list] = []
+    for start, kind, end, low, high in pieces:
+        last = next((w for w in reversed(whole) if w[1] == kind and w[2] == w[4] and start == low and w[0] <= start <= w[2] <= end), None)
+        if last:
+            last[2:] = end, last[3], high
+        else:
+            whole.append([start, kind, end, low, high])
+    kept: list[tuple[int, int, int]] = []
+    for start, kind, end, low, high in sorted(whole, key=lambda w: (-min(w[0] - w[3], w[4] - w[2]), w[0])):
+        if not any(a < end and start < b for a, _, b in kept):
+            kept.append((start, kind, end))
+    return sorted(kept)
+
+
+def text_spans(model: Tagger, texts: list[np.ndarray], window: int = WINDOW, overlap: int = OVERLAP) -> list[list[tuple[int, int, int]]]:
+    """The spans that the model finds in every text: (start, kind number, end)."""
     stride = window - overlap
     counts = [max(1, -(-(len(t) - overlap) // stride)) if len(t) else 0 for t in texts]
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -194,29 +221,19 @@ def tag_texts(model: Tagger, texts: list[np.ndarray], window: int = WINDOW, over
             padded = np.full(n * stride + overlap, 10, np.uint8)
             padded[: len(text)] = text
             held.append(sliding_window_view(padded, window)[::stride])
-    tags: list[np.ndarray | None] = [None] * len(texts)
-    if not held:
-        return tags
-    windows = np.concatenate(held)
+    pieces: dict[int, list] = {}
+    far = 1 << 40
+    windows = np.concatenate(held) if held else np.zeros((0, window), np.uint8)
     for at in range(0, len(windows), AT_ONCE):
-        for place, path in model.decode(np.ascontiguousarray(windows[at : at + AT_ONCE].T)).items():
+        for place, path in sorted(model.decode(np.ascontiguousarray(windows[at : at + AT_ONCE].T)).items()):
             number = int(owner[at + place])
-            turn, last = at + place - first[number], counts[number] - 1
-            own = tags[number]
-            if own is None:
-                own = tags[number] = np.zeros(len(texts[number]), np.int8)
-            left = overlap // 2 if turn else 0  # neighbours meet in the middle of what they share
-            right = window - overlap // 2 if turn < last else window
+            turn, size = int(at + place - first[number]), len(texts[number])
             start = turn * stride
-            part = path[left:right][: max(0, len(own) - start - left)]
-            own[start + left : start + left + len(part)] = part
-    return tags
-
-
-def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of one tag as (start, kind number, end)."""
-    cuts = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
-    return [(int(a), int(tags[a]) - 1, int(b)) for a, b in zip(cuts, cuts[1:]) if tags[a]]
+            low = start if turn else -far
+            high = start + window if turn < counts[number] - 1 else far
+            for a, kind, b in tagged_spans(path[: max(0, size - start)]):
+                pieces.setdefault(number, []).append((start + a, kind, start + b, low, high))
+    return [reconciled(pieces.get(i, [])) for i in range(len(texts))]
 
 
 WRITTEN_EMAIL = re.compile(
@@ -242,10 +259,10 @@ def plausible(kind: int, text: str) -> bool:
     return 9 <= len(figures) <= 15 and re.fullmatch(r"(?:\(?0|\(?[0-9]{3}\)?[ .-])[0-9 ()/.-]+[0-9]", text) is not None
 
 
-def added_spans(tags: np.ndarray | None, text: str, certain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def added_spans(spans: list[tuple[int, int, int]], text: str, certain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The model's spans, without their outer blanks and marks, that are plausible and touch no certain span."""
     found = []
-    for start, kind, end in tagged_spans(tags) if tags is not None else []:
+    for start, kind, end in spans:
         inner = text[start:end]
         start += len(inner) - len(inner.lstrip(" \t\n.,;:)"))
         end -= len(inner) - len(inner.rstrip(" \t\n.,;:("))
@@ -276,13 +293,13 @@ def scan_personal_data(
             contents = [c or b"" for c in contents]
             texts = [c.decode("utf-8", "replace") for c in contents]
             made = {"certain": [], "likely": []}
-            for content, text, tags in zip(contents, texts, tag_texts(tagger, [codes(t) for t in texts]), strict=True):
+            for content, text, spans in zip(contents, texts, text_spans(tagger, [codes(t) for t in texts]), strict=True):
                 certain = certain_spans(content)
                 if certain and len(content) != len(text):  # bytes to characters
                     points = np.cumsum((np.frombuffer(content, np.uint8) & 0xC0) != 0x80)
                     certain = [(int(points[a]) - 1, k, int(points[b - 1])) for a, k, b in certain]
                 made["certain"].append([span(s) for s in certain])
-                made["likely"].append([span(s) for s in added_spans(tags, text, certain)])
+                made["likely"].append([span(s) for s in added_spans(spans, text, certain)])
             return made
 
         return step

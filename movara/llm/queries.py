@@ -19,7 +19,7 @@ from movara.llm.registry import query
 from movara.llm.secrets import kind_count, scan_secrets, spelled
 from movara.llm.shards import shard_uploads
 from movara.llm.simhash import near_copies
-from movara.llm.url_filter import DEPTH, DIFFERENT, REJECTED, SMOOTHING, VARIABLE, judge_urls
+from movara.llm.url_filter import DIFFERENT, REJECTED, SMOOTHING, VARIABLE, judge_urls
 from movara.llm.vector_search import top_inner_products
 from movara.llm.web_archive import convert_arcs, read_warc, write_arc
 
@@ -145,6 +145,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Levels of the path tree's twin, a statement each; it raises an error if a path is deeper.
+TWIN_LEVELS = 12
+
 #: The rules of the url query.
 URL_RULES = [
     ("allow", "org/"),
@@ -176,12 +179,12 @@ v AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{l
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 w AS (SELECT *, {rule} AS rule, {says} AS says, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM v),
 r AS (SELECT page_id, host, path, rule, says,
-             list_concat(list_transform(parts[1:{DEPTH}], lambda x: {classed}),
-                         CASE WHEN len(parts) > {DEPTH} THEN ['**'] ELSE [] END) AS segments FROM w),
+             CASE WHEN len(parts) > {TWIN_LEVELS} THEN error('a path is deeper than the twin') ELSE list_transform(parts, lambda x: {classed}) END AS segments
+      FROM w),
 p0 AS (SELECT host, segments, count(says) AS labelled, count(*) FILTER (says = 'block') AS blocked, '' AS template
        FROM r GROUP BY host, segments)"""
     ]
-    for level in range(1, DEPTH + 2):
+    for level in range(1, TWIN_LEVELS + 1):
         a, b = f"p{level - 1}", f"p{level}"
         own, rest = "b.blocked / b.labelled", "(n.blocked - b.blocked) / (n.labelled - b.labelled)"
         spread = "sqrt((n.blocked / n.labelled) * (1 - n.blocked / n.labelled) * (1.0 / b.labelled + 1.0 / (n.labelled - b.labelled)))"
@@ -198,7 +201,7 @@ n{level} AS (SELECT host, template, count(*) AS fanout, sum(labelled) AS labelle
       FROM {a} p LEFT JOIN b{level} b ON p.host = b.host AND p.template = b.template AND p.segments[{level}] = b.segment
                  LEFT JOIN n{level} n ON p.host = n.host AND p.template = n.template)"""
         )
-    last, k = f"p{DEPTH + 1}", f"{SMOOTHING}::DOUBLE"
+    last, k = f"p{TWIN_LEVELS}", f"{SMOOTHING}::DOUBLE"
     steps.append(
         f"""g AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0.0) AS rate FROM {last}),
 h AS (SELECT host, (sum(blocked) + {k} * any_value(rate)) / (sum(labelled) + {k}) AS rate FROM {last}, g GROUP BY host),
@@ -277,11 +280,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ","
     )
     count = lambda kind: F.size(F.filter("certain", lambda s: s["kind"] == PERSONAL.index(kind))).cast("long")
+    added = lambda kind: F.size(F.filter("likely", lambda s: s["kind"] == PERSONAL.index(kind))).cast("long")
     return found.select(
         F.col("dataset_id").alias("doc_id"),
         *[count(k).alias(f"n_{k}") for k in PERSONAL],
         digest(spell(F.col("certain"))).alias("base_sha256"),
         spell(F.array_sort(F.concat("certain", likely))).alias("spans"),
+        *[added(k).alias(f"n_likely_{k}") for k in PERSONAL],
     )
 
 

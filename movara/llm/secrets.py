@@ -1,7 +1,7 @@
 """Secret scans with linked credential parts, in column expressions only.
 
 Certain patterns are always reported. Weak parts (an identifier, a secret-like value, an endpoint) are common in harmless
-files, so one is reported only where its complement lies within the scope: an interval join of the parts of a
+files, so one is reported only where its complement lies in the same block of lines or near it: an interval join of the parts of a
 file, done as one sweep over them in order and one back. Everything stays in the upload's row, so no group
 is gathered and nothing is exchanged.
 """
@@ -30,7 +30,7 @@ WEAK_SECRET = (
 )
 ENDPOINT = (
     r"""(?i)(?<![A-Za-z0-9_])(?:(?:https?|ftp|s3|redis|amqps?|mysql|mongodb|postgres(?:ql)?|jdbc:[a-z]+)://[^\s"'<>,;]+"""
-    r"""|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"""
+    r"""|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"""
 )
 
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
@@ -38,8 +38,10 @@ KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
 #: A weak part is reported with any of these near it.
 COMPLEMENTS = {"identifier": ("secret",), "weak_secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
-#: Characters between parts that belong together, at most.
+#: Parts belong together within one block, a stretch of text without a blank line, and within so many characters anywhere.
 SCOPE = 200
+BLANK_LINE = r"\n[ \t\r]*\n"
+BREAK = len(KINDS) + 1
 
 SPAN = "struct<start: bigint, kind: int, end: bigint>"
 FAR = 1 << 60
@@ -88,7 +90,7 @@ def matches(content: Column, pattern: str, kind: str, keep=None) -> Column:
 
     The text between matches comes from a split on the same pattern, so positions are running sums.
     """
-    number = KINDS.index(kind) + 1
+    number = KINDS.index(kind) + 1 if kind in KINDS else BREAK
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
 
     def piece(match: Column, gap: Column) -> Column:
@@ -124,21 +126,26 @@ def _role_is(kind: Column, role: str) -> Column:
 
 
 def _near(parts: Column, scope: int, back: bool) -> Column:
-    """For each part in order: whether each role has a part within the scope before it (``back``: after it)."""
+    """For each part in order: whether each role has a part in its block or within the scope before it (``back``: after it).
+
+    The ends of blocks are among the parts.
+    """
     away = F.lit(FAR if back else -FAR).cast("long")
 
-    def step(edges: Column, part: Column) -> Column:
-        edge = lambda r: F.least(edges[r], part["start"]) if back else F.greatest(edges[r], part["end"])
-        return F.struct(*[F.when(_role_is(part["kind"], r), edge(r)).otherwise(edges[r]).alias(r) for r in PARTS])
+    def step(seen: Column, part: Column) -> Column:
+        edge = lambda r: F.least(seen[r], part["start"]) if back else F.greatest(seen[r], part["end"])
+        edges = [F.when(_role_is(part["kind"], r), edge(r)).otherwise(seen[r]).alias(r) for r in PARTS]
+        held = [((seen[f"{r}_here"] | _role_is(part["kind"], r)) & (part["kind"] != BREAK)).alias(f"{r}_here") for r in PARTS]
+        return F.struct(*edges, *held)
 
-    def close(edges: Column, part: Column) -> Column:
-        within = lambda r: edges[r] <= part["end"] + scope if back else edges[r] >= part["start"] - scope
-        return F.struct(*[within(r).alias(r) for r in PARTS])
+    def close(seen: Column, part: Column) -> Column:
+        within = lambda r: seen[r] <= part["end"] + scope if back else seen[r] >= part["start"] - scope
+        return F.struct(*[(within(r) | seen[f"{r}_here"]).alias(r) for r in PARTS])
 
     swept = running(
         F.reverse(parts) if back else parts,
-        F.struct(*[away.alias(r) for r in PARTS]),
-        f"struct<{', '.join(f'{r}: bigint' for r in PARTS)}>",
+        F.struct(*[away.alias(r) for r in PARTS], *[F.lit(False).alias(f"{r}_here") for r in PARTS]),
+        f"struct<{', '.join([f'{r}: bigint' for r in PARTS] + [f'{r}_here: boolean' for r in PARTS])}>",
         step,
         close,
         f"struct<{', '.join(f'{r}: boolean' for r in PARTS)}>",
@@ -164,7 +171,8 @@ def scan_secrets(uploads: DataFrame, scope: int = SCOPE, carry: tuple[str, ...]
     """Certain secrets and linked credential parts of every upload.
 
     ``uploads``: ``content`` and the ``carry`` columns. Returns the carried columns, ``certain`` and ``linked``: spans (``start``,
-    ``kind`` numbered as in ``KINDS``, ``end``) in order, by code points of the whole text, end exclusive.
+    ``kind`` numbered as in ``KINDS``, ``end``) in order, by code points of the whole text, end exclusive. A weak part is linked to
+    complements in its block (no blank line between them), however far, and within ``scope`` characters in any other.
 
     A missing text is an empty one and has no spans; every row is scanned by itself, so repeated rows
     repeat their spans and an empty table stays empty.
@@ -182,7 +190,9 @@ def scan_secrets(uploads: DataFrame, scope: int = SCOPE, carry: tuple[str, ...]
     )
     # parts are compared only where there is a weak one
     parts = base.select(
-        *carry, "certain", F.when(F.size("__weak") > 0, F.array_sort(F.concat("certain", "__weak"))).alias("__parts")
+        *carry,
+        "certain",
+        F.when(F.size("__weak") > 0, F.array_sort(F.concat("certain", "__weak", matches(text, BLANK_LINE, "break")))).alias("__parts"),
     )
     near = parts.select(
         *carry,

@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from movara.functions.joins import attached
 from movara.llm.common import saved
 
-#: Segments of a path that are told apart; what follows is one tail.
-DEPTH = 8
 #: A position with so many branches is variable even where they have no labels.
 VARIABLE = 4
 #: Standard errors by which a branch's blocked share must differ to be kept.
@@ -29,11 +28,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Kinds of variable segments, the first that fits.
 CLASSES = (
-    (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$", "{date}"),
-    (r"^[0-9]+$", "{number}"),
-    (r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}$", "{hex}"),
-    (r"^(?=.*[0-9])[^.]{16,}$", "{slug}"),
+    (r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?\z", "{date}"),
+    (r"^[0-9]+\z", "{number}"),
+    (r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}\z", "{hex}"),
+    (r"(?s)^(?=.*[0-9])[^.]{16,}\z", "{slug}"),
 )
+#: A segment's name and its file ending.
+NAMED = r"(?s)^(.+?)(\.[A-Za-z]{1,5})?\z"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,20 +62,16 @@ def winning_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
 
 
 def segments(path: Column) -> Column:
-    """Non-empty segments with their classes; a file ending stays; those past ``DEPTH`` become one ``**``."""
+    """Non-empty segments with their classes; a file ending stays."""
 
     def classed(segment: Column) -> Column:
-        stem, ending = F.regexp_extract(segment, r"^(.+?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(
-            segment, r"^(.+?)(\.[A-Za-z]{1,5})?$", 2
-        )
+        stem, ending = (F.regexp_extract(segment, NAMED, n) for n in (1, 2))
         name = segment
         for pattern, kind in reversed(CLASSES):
             name = F.when(stem.rlike(pattern), F.concat(F.lit(kind), ending)).otherwise(name)
         return name
 
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    known = F.transform(F.slice(parts, 1, DEPTH), classed)
-    return F.when(F.size(parts) > DEPTH, F.concat(known, F.array(F.lit("**")))).otherwise(known)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), classed)
 
 
 def _rate(blocked: Column, labelled: Column, towards: Column) -> Column:
@@ -82,14 +79,18 @@ def _rate(blocked: Column, labelled: Column, towards: Column) -> Column:
 
 
 def _wildcards(paths: DataFrame, level: int) -> DataFrame:
-    """Extend every template by its segment of this level, or by ``*`` where branches are alike."""
-    here = paths.where(F.size("segments") >= level).withColumn("segment", F.element_at("segments", level))
+    """Extend every open template by its segment of this level, or by ``*`` where branches are alike.
+
+    A path with no other below its template has nothing left to be compared with and takes all its segments.
+    """
+    here = paths.where("open").withColumn("segment", F.element_at("segments", level))
     branches = here.groupBy("host", "template", "segment").agg(
-        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
+        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("paths")
     )
     nodes = branches.groupBy("host", "template").agg(
-        F.count("*").alias("fanout"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
-    )
+        F.count("*").alias("fanout"), F.sum("paths").alias("all_paths"),
+        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"),
+    )
     others = F.col("all_labelled") - F.col("labelled")
     own = F.try_divide("blocked", "labelled")
     rest = F.try_divide(F.col("all_blocked") - F.col("blocked"), others)
@@ -99,27 +100,32 @@ def _wildcards(paths: DataFrame, level: int) -> DataFrame:
     comparable = (F.col("labelled") > 0) & (others > 0)
     alike = ((F.col("fanout") >= VARIABLE) | comparable) & (F.col("fanout") > 1) & ~differs
     named = branches.join(nodes, ["host", "template"]).select(
-        "host", "template", "segment", F.when(alike, F.lit("*")).otherwise(F.col("segment")).alias("name")
+        "host", "template", "segment", F.when(alike, F.lit("*")).otherwise(F.col("segment")).alias("name"), (F.col("all_paths") == 1).alias("alone")
     )
-    longer = here.join(named, ["host", "template", "segment"]).withColumn(
-        "template", F.concat("template", F.lit("/"), "name")
+    rest = F.array_join(F.slice("segments", level, F.size("segments")), "/")
+    longer = attached(here, named, ["host", "template", "segment"], F.col("path_key")).withColumns(
+        {
+            "template": F.concat("template", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("name"))),
+            "open": ~F.col("alone") & (F.size("segments") > level),
+        }
     )
-    return longer.select(paths.columns).unionByName(paths.where(F.size("segments") < level))
+    return longer.select(paths.columns).unionByName(paths.where("NOT open"))
 
 
 def path_templates(pages: DataFrame) -> DataFrame:
     """``pages`` (host, path_key, segments, label 1 blocked / 0 allowed / null) to one row a (host, path_key).
 
     Each has its ``template`` and the template's smoothed ``purity``. Work after the first aggregate is on
-    distinct classed paths.
+    distinct classed paths, a round a level as far down as paths still share a template.
     """
     paths = saved(
         pages.groupBy("host", "path_key", "segments")
         .agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-        .withColumn("template", F.lit(""))
+        .withColumns({"template": F.lit(""), "open": F.size("segments") > 0})
     )
-    deepest = paths.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]
-    for level in range(1, deepest + 1):
+    level = 0
+    while not paths.where("open").isEmpty():
+        level += 1
         paths = saved(_wildcards(paths, level))
     sums = F.sum("labelled").alias("n"), F.sum("blocked").alias("b")
     whole = paths.agg(*sums).first()
@@ -131,7 +137,7 @@ def path_templates(pages: DataFrame) -> DataFrame:
         .join(hosts, "host")
         .select("host", "template", _rate(F.col("b"), F.col("n"), F.col("host_rate")).alias("purity"))
     )
-    return paths.join(templates, ["host", "template"]).select("host", "path_key", "template", "purity")
+    return attached(paths, templates, ["host", "template"], F.col("path_key")).select("host", "path_key", "template", "purity")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rejected: float = REJECTED) -> DataFrame:
@@ -153,6 +159,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rejected: float =
     label = F.when(F.col("says") == "block", 1).when(F.col("says") == "allow", 0)
     templates = path_templates(parts.select("host", "path_key", "segments", label.alias("label")))
     verdict = F.coalesce("says", F.when(F.col("purity") >= rejected, "block").otherwise("allow"))
-    return parts.join(templates, ["host", "path_key"]).select(
+    return attached(parts, templates, ["host", "path_key"], F.col("page_id")).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from movara.llm import personal_data as module
-from movara.llm.personal_data import certain_spans, KINDS, scan_personal_data, tag_texts, train_model
+from movara.llm.personal_data import certain_spans, KINDS, scan_personal_data, text_spans, train_model
 from movara.llm.tagger import Tagger, codes
 
 from tests.llm.plain import frame
@@ -110,13 +110,39 @@ def test_decoding_is_the_best_path(model, excerpts):
     assert (got == np.array(want[::-1])).all()
 
 
-def test_windows_agree_wherever_they_fall(model):
-    item = "write to bob.smith (at) example (dot) org or (017) 555-7713 now"
-    for shift in (0, 100, 200, 215, 224, 230, 700):
-        text = "filler and more " * 50
-        text = text[:shift] + " " + item + " " + text
-        spans = module.added_spans(tag_texts(model, [codes(text)])[0], text, [])
-        assert "(017) 555-7713" in [text[a:b] for _, _, _ in spans for a, k, b in spans if KINDS[k] == "phone"], shift
+def found_share(model, kind, start, samples):
+    """Share of written samples of a kind that are found when they begin at ``start`` of a text."""
+    rng = np.random.default_rng(77)
+    filler, hits, asked = "some words of plain prose and ", 0, 0
+    while asked < samples:
+        item = module.written_sample(kind, rng)
+        if not module.plausible(kind, item):
+            continue
+        asked += 1
+        text = (filler * 60)[: start - 1] + " " + item + " " + filler * 20
+        spans = module.added_spans(text_spans(model, [codes(text)])[0], text, [])
+        hits += any(k == kind and a <= start and b >= start + len(item) for a, k, b in spans)
+    return hits / samples
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_windows_agree_wherever_they_fall(model, kind):
+    """Recall across the cuts is what it is in the middle of a window."""
+    stride = module.WINDOW - module.OVERLAP
+    middle = found_share(model, kind, 300, 40)
+    assert middle > 0.6
+    for start in range(stride - 50, module.WINDOW + 20, 12):
+        assert found_share(model, kind, start, 40) >= middle - 0.051, start  # two of forty
+
+
+def test_reconciled_spans():
+    far = 1 << 40
+    whole = lambda *pieces: module.reconciled(list(pieces))
+    assert whole((10, 1, 20, -far, 512), (450, 2, 480, -far, 512), (452, 2, 480, 416, far)) == [(10, 1, 20), (452, 2, 480)]
+    assert whole((430, 0, 512, -far, 512), (430, 0, 700, 416, far)) == [(430, 0, 700)]
+    # longer than what windows share: joined over two cuts
+    assert whole((300, 0, 512, -far, 512), (416, 0, 928, 416, 928), (832, 0, 900, 832, far)) == [(300, 0, 900)]
+    assert whole() == []
 
 
 def test_added_spans_need_their_form():

@@ -90,6 +90,25 @@ def test_equals_plain_tree(spark):
     assert {v[3] for v in want if v[2] is None} == {"allow", "block"}
 
 
+def test_deep_branches_are_told_apart(spark):
+    """Branches that part at segment nine and later, and one path much longer than all others."""
+    stem = "a/b/c/d/e/f/g/h"
+    rules = [("allow", f"x.net/{stem}/good/pa"), ("block", f"x.net/{stem}/bad/pa")]
+    urls = [f"http://x.net/{stem}/{kind}/{page}{i}" for kind in ("good", "bad") for page in ("pa", "qu") for i in range(20)]
+    urls += ["http://x.net/" + "/".join(f"s{i}" for i in range(300)), f"http://y.net/{stem}/i/j/k/l/m\nn1"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(frame, rules).collect()}
+    for i, url in enumerate(urls[:80]):
+        assert got[i].verdict == ("allow" if "/good/" in url else "block"), url
+    assert got[80].template.endswith("/s299") and got[81].template == f"/{stem}/i/j/k/l/m\nn1"
+
+
+def test_repeated_addresses_and_one_path_for_most_pages(spark):
+    urls = [None] * 400 + ["http://a.org/x"] * 300 + [f"http://a.org/{i}" for i in range(50)]
+    got = judged(spark, urls)
+    assert [got[i] for i in range(len(urls))] == plain_verdicts(urls)
+
+
 def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     rows = {r.page_id: r for r in judge_urls(pages, URL_RULES).collect()}
@@ -110,5 +129,5 @@ def test_awkward_urls(spark):
     for i, url in enumerate(urls):
         host, path = plain_split(url)
         assert got[i][:3] == (host, path, plain_rule(host, path)[0]), url
-    assert got[13][4].endswith("/**")
+    assert got[13][4] == "/a/b/c/d/e/f/g/h/i/j/k"
     assert judged(spark, []) == {}
