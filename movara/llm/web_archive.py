@@ -179,10 +179,13 @@ def _arc_steps(content: bool):
             end = buffer.find(b"\n", at)
             if end < 0:
                 return (None, len(buffer)) if ended and at == len(buffer) else None
-            values = bytes(buffer[at:end]).rstrip(b"\r").rsplit(b" ", len(fields) - 1)
+            line = bytes(buffer[at:end]).rstrip(b"\r")
+            if line.startswith(b"filedesc://"):  # it describes itself: the version is told by the number of its fields
+                fields = ARC_FIELDS[2 if line.count(b" ") >= 9 else 1].split(" ")
+            values = line.rsplit(b" ", len(fields) - 1)
             named = dict(zip(fields, values)) if len(values) == len(fields) else {}
             date, length = named.get("Archive-date", b""), named.get("Archive-length", b"")
-            if not (date.isdigit() and 8 <= len(date) <= 17 and length.isdigit() and len(length) < 16 and b":" in named["URL"]):
+            if not (date.isdigit() and 8 <= len(date) <= 17 and length.isdigit() and len(length) < 16 and named["URL"]):
                 lost += end + 1 - at  # no header: look for the next one
                 if ended and end + 1 >= len(buffer):
                     gone, lost = lost, 0
