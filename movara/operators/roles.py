@@ -8,6 +8,7 @@ tables can be classified in one job. An explicit analysis spec always wins over
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,16 +72,26 @@ def is_unix(number: Column) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Shares of date, period and unix shapes per text column, over all rows.
+def keys_of(frame: DataFrame) -> list[str]:
+    """``table`` where the catalog holds several tables; every rule then works table by table."""
+    return ["table"] if "table" in frame.columns else []
 
-    Cells are unfolded to (column, text) and counted, so a repeated value is parsed once and
-    hot values collapse before the shuffle; cells that cannot be dates collapse to one row.
-    """
+
+def long_texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The filled text cells of a table as (column, text)."""
     cells = df.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns])
-    long = cells.unpivot([], columns, "column", "text").where(F.col("text").isNotNull())
+    return cells.unpivot([], columns, "column", "text").where(F.col("text").isNotNull())
+
+
+def text_shapes(long: DataFrame) -> DataFrame:
+    """Shares of date, period and unix shapes per text column, over all cells of ``long_texts``, of one table or of many.
+
+    Cells are counted by text, so a repeated value is parsed once and hot values collapse before the shuffle; cells that
+    cannot be dates collapse to one row.
+    """
+    keys = keys_of(long)
     possible = F.when(F.col("text").rlike(ANY_DIGIT), F.col("text"))
-    counted = long.groupBy("column", possible.alias("text")).agg(F.count("*").alias("copies"))
+    counted = long.groupBy(*keys, "column", possible.alias("text")).agg(F.count("*").alias("copies"))
     text = F.col("text")
     flags = {f"m{i}": text.rlike(p) for i, p in enumerate(MONTH_SHAPES)}
     flags |= {f"q{i}": text.rlike(p) for i, p in enumerate(QUARTER_SHAPES)}
@@ -93,7 +104,7 @@ def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
         .withColumn("year", F.year(F.coalesce("day_first", "month_first")))
     )
     hits = lambda test: F.sum(F.when(test, F.col("copies")).otherwise(0))
-    summed = parsed.groupBy("column").agg(
+    summed = parsed.groupBy(*keys, "column").agg(
         F.sum("copies").alias("cells"),
         *[hits(test).alias(name) for name, test in flags.items()],
         F.greatest(hits(F.col("month_first").isNotNull()), hits(F.col("day_first").isNotNull())).alias("parsed_rows"),
@@ -102,6 +113,7 @@ def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     share = lambda *names: F.greatest(*[F.col(n) for n in names], F.lit(0)) / F.col("cells")
     return summed.select(
+        *keys,
         "column",
         share("m0", "m1", "m2").alias("month_ratio"),
         share("m0", "m1", "q0", "q1").alias("period_ratio"),
@@ -115,13 +127,16 @@ def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def column_catalog(df: DataFrame) -> DataFrame:
-    """Position, physical class, value sums and shape shares of every column."""
-    classes = {}
-    for field in df.schema.fields:
-        temporal = isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-        numeric = isinstance(field.dataType, T.NumericType)
-        classes[field.name] = "numeric" if numeric else "datetime" if temporal else "text"
+def column_classes(df: DataFrame) -> dict[str, str]:
+    """Each column as numeric, datetime, text or, where it holds nested or binary values, other."""
+    temporal, scalar = (T.DateType, T.TimestampType, T.TimestampNTZType), (T.StringType, T.BooleanType, T.NullType)
+    kind = lambda t: "numeric" if isinstance(t, T.NumericType) else "datetime" if isinstance(t, temporal) else "text" if isinstance(t, scalar) else "other"
+    return {f.name: kind(f.dataType) for f in df.schema.fields}
+
+
+def column_sums(df: DataFrame) -> DataFrame:
+    """Position, physical class and value sums of every column, in one pass."""
+    classes = column_classes(df)
     position = {c: i for i, c in enumerate(df.columns)}
 
     def measures(c: str) -> dict[str, Column]:
@@ -138,10 +153,32 @@ def column_catalog(df: DataFrame) -> DataFrame:
             "number_unix_ratio": F.coalesce(F.avg(F.when(number.isNotNull(), is_unix(number).cast("double"))), F.lit(0.0)),
         }
 
-    stats = per_column(df, df.columns, measures)
-    texts = [c for c, kind in classes.items() if kind == "text"]
-    shapes = text_shapes(df, texts) if texts else None
-    joined = stats.join(shapes, "column", "left") if shapes is not None else stats.select(
+    return per_column(df, df.columns, measures)
+
+
+def column_catalog(df: DataFrame) -> DataFrame:
+    """Position, physical class, value sums and shape shares of every column."""
+    texts = [c for c, kind in column_classes(df).items() if kind == "text"]
+    return with_shapes(column_sums(df), text_shapes(long_texts(df.select(*[F.col(c).cast("string").alias(c) for c in texts]), texts)) if texts else None)
+
+
+def tables_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """``column_catalog`` of many tables of different columns as one frame with a ``table`` key, for one job.
+
+    The text cells of all tables are one long frame, counted and parsed together; the rules that read the result work table by table.
+    """
+    sums, texts = [], []
+    for name, df in tables.items():
+        sums.append(column_sums(df).withColumn("table", F.lit(name)))
+        own = [c for c, kind in column_classes(df).items() if kind == "text"]
+        if own:
+            texts.append(long_texts(df.select(*[F.col(c).cast("string").alias(c) for c in own]), own).withColumn("table", F.lit(name)))
+    shapes = text_shapes(reduce(DataFrame.unionByName, texts)) if texts else None
+    return with_shapes(reduce(DataFrame.unionByName, sums), shapes)
+
+
+def with_shapes(stats: DataFrame, shapes: DataFrame | None) -> DataFrame:
+    joined = stats.join(shapes, [*keys_of(stats), "column"], "left") if shapes is not None else stats.select(
         "*", *[F.lit(None).cast("double").alias(c) for c in SHAPE_COLUMNS]
     )
     ratios = [c for c in joined.columns if c.endswith("_ratio")]
@@ -161,6 +198,7 @@ def with_types(catalog: DataFrame) -> DataFrame:
     kind = first_match(
         (numeric & hint & (F.col("parsed_ratio") >= 0.8), "datetime"),
         (numeric, "numeric"),
+        (F.col("class") == "other", "categorical"),
         (~text, "datetime"),
         (F.col("present") == 0, "categorical"),
         (F.col("period_ratio") >= 0.65, "categorical"),
@@ -189,18 +227,23 @@ def period_suggestions(typed: DataFrame) -> DataFrame:
     )
     rows = typed.where((F.col("type") != "datetime") & (F.col("present") > 0)).withColumn("kind", kind)
     return rows.where(F.col("kind").isNotNull()).select(
-        "column", "position", "kind", round_to(confidence, 2).alias("confidence")
+        *keys_of(typed), "column", "position", "kind", round_to(confidence, 2).alias("confidence")
     )
 
 
 def date_candidates(typed: DataFrame) -> DataFrame:
     """Typed dates with full confidence, then the suggested periods."""
     dates = typed.where(F.col("type") == "datetime").select(
-        "column", "position", F.lit("datetime").alias("kind"), F.lit(1.0).alias("confidence")
+        *keys_of(typed), "column", "position", F.lit("datetime").alias("kind"), F.lit(1.0).alias("confidence")
     )
     return dates.unionByName(period_suggestions(typed))
 
 
+def profiles(tables: dict[str, DataFrame]) -> DataFrame:
+    """Typed catalog of many tables, computed once for all its readers (one row a column of a table)."""
+    return shared(with_types(tables_catalog(tables)))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """Typed catalog of a table, computed in one pass for all its readers (one row per column)."""
     return shared(with_types(column_catalog(df)))
@@ -212,7 +255,7 @@ def name_catalog(df: DataFrame) -> DataFrame:
 
 
 def flagged_names(catalog: DataFrame) -> DataFrame:
-    return catalog.select("column", "present", *[c.alias(n) for n, c in name_flags("column").items()])
+    return catalog.select(*keys_of(catalog), "column", "present", *[c.alias(n) for n, c in name_flags("column").items()])
 
 
 def vocabulary_matches(catalog: DataFrame, vocabularies: dict[str, Iterable[str]]) -> DataFrame:
@@ -246,8 +289,9 @@ def metric_scores(
         (F.col("vocabulary") == "domain", F.greatest(F.lit(18), F.lit(domain_base) - F.col("rank") * 5)),
         default=F.greatest(F.lit(10), F.lit(value_base) - F.col("rank") * 3),
     )
-    points = hits.groupBy("column").agg(F.sum(worth).alias("points"))
-    rows = numeric.join(points, "column", "left")
+    keys = keys_of(typed)
+    points = hits.groupBy(*keys, "column").agg(F.sum(worth).alias("points"))
+    rows = numeric.join(points, [*keys, "column"], "left")
     tolerant = contains_any_col("column", NEGATIVE_ALLOWED_TERMS)
     negative = F.col("negative_ratio")
     crossed = F.lit(0)
@@ -268,21 +312,21 @@ def metric_scores(
         whole_word_col("column", IDENTIFIER_TERMS) | whole_word_col("column", NOISE_TERMS) | (F.col("present") == 0)
     )
     scored = rows.withColumn("score", round_to(F.when(unusable, -1000.0).otherwise(score)))
-    best = Window.orderBy(F.desc("score"), F.desc("column"))
-    return scored.select("column", "score", F.row_number().over(best).cast("bigint").alias("rank"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("column"))
+    return scored.select(*keys, "column", "score", F.row_number().over(best).cast("bigint").alias("rank"))
 
 
 def role_scores(typed: DataFrame, groups: dict[str, Iterable[str]]) -> DataFrame:
     """Score of every numeric column for each named role, positive scores only."""
     numeric = typed.where(F.col("type") == "numeric")
     hits = vocabulary_matches(numeric, groups)
-    totals = hits.groupBy("vocabulary", "column", "present").agg(F.sum(100 - F.col("rank") * 4).alias("points"))
+    totals = hits.groupBy(*keys_of(typed), "vocabulary", "column", "present").agg(F.sum(100 - F.col("rank") * 4).alias("points"))
     score = (
         F.col("points")
         - F.when(whole_word_col("column", SHORT_IDENTIFIER_TERMS), 500).otherwise(0)
         - F.when(F.col("present") == 0, 200).otherwise(0)
     )
-    return totals.select(F.col("vocabulary").alias("role"), "column", score.cast("bigint").alias("score")).where(
+    return totals.select(*keys_of(typed), F.col("vocabulary").alias("role"), "column", score.cast("bigint").alias("score")).where(
         F.col("score") > 0
     )
 
@@ -292,36 +336,35 @@ def metric_map(typed: DataFrame, primary: Iterable[str], supports: dict[str, Ite
 
     Ties go to the later name; without a named primary metric the largest magnitude stands in.
     """
+    keys = keys_of(typed)
     scored = role_scores(typed, {"primary_metric": primary, **supports})
-    named = scored.where(F.col("role") == "primary_metric").agg(
-        F.max_by(F.struct("column", "score"), F.struct("score", "column")).alias("p")
-    )
-    usable = typed.where(F.col("type") == "numeric").withColumn(
-        "_id", whole_word_col("column", SHORT_IDENTIFIER_TERMS)
+    best = F.max_by(F.struct("column", "score"), F.struct("score", "column"))
+    named = scored.where(F.col("role") == "primary_metric").groupBy(*keys).agg(best.alias("p"))
+    usable = typed.where(F.col("type") == "numeric").withColumn("_id", whole_word_col("column", SHORT_IDENTIFIER_TERMS))
+    largest = usable.groupBy(*keys).agg(
+        F.max_by("column", F.struct(~F.col("_id"), F.col("abs_sum"), -F.col("position"))).alias("largest")
     )
-    largest = usable.agg(
-        F.max_by("column", F.struct(~F.col("_id"), F.col("abs_sum"), -F.col("position"))).alias("column")
-    ).scalar()
-    chosen = named.select(
-        F.lit("primary_metric").alias("role"),
-        F.coalesce(F.col("p.column"), largest).alias("column"),
-        F.col("p.score").alias("score"),
+    both = largest.join(named, keys, "left") if keys else largest.crossJoin(named)  # one row each
+    chosen = both.select(
+        *keys, F.lit("primary_metric").alias("role"), F.coalesce(F.col("p.column"), "largest").alias("column"), F.col("p.score").alias("score")
     )
-    primary_column = chosen.select("column").scalar()
-    others = scored.where((F.col("role") != "primary_metric") & (F.col("column") != primary_column))
-    best = others.groupBy("role").agg(F.max_by(F.struct("column", "score"), F.struct("score", "column")).alias("b"))
-    return chosen.unionByName(best.select("role", "b.column", "b.score"))
+    supporting = scored.where(F.col("role") != "primary_metric")
+    taken = chosen.select(*keys, F.col("column").alias("_primary"))
+    others = supporting.join(taken, keys) if keys else supporting.crossJoin(taken)
+    found = others.where(F.col("column") != F.col("_primary")).groupBy(*keys, "role").agg(best.alias("b"))
+    return chosen.unionByName(found.select(*keys, "role", "b.column", "b.score"))
 
 
 def domain_scores(catalog: DataFrame, terms: dict[str, Iterable[str]], metrics: dict[str, Iterable[str]] | None = None) -> DataFrame:
     """Distinct terms hit per domain, metric terms counting double; the first best domain wins."""
     order = first_match(*[(F.col("domain") == d, i) for i, d in enumerate(terms)])
-    hits = vocabulary_matches(catalog, terms).select(F.col("vocabulary").alias("domain"), "term", F.lit(1).alias("w"))
+    keys = keys_of(catalog)
+    hits = vocabulary_matches(catalog, terms).select(*keys, F.col("vocabulary").alias("domain"), "term", F.lit(1).alias("w"))
     if metrics:
         extra = vocabulary_matches(catalog, metrics)
-        hits = hits.unionByName(extra.select(F.col("vocabulary").alias("domain"), "term", F.lit(2).alias("w")))
-    scores = hits.distinct().groupBy("domain").agg(F.sum("w").alias("score"))
-    best = Window.orderBy(F.desc("score"), order)
+        hits = hits.unionByName(extra.select(*keys, F.col("vocabulary").alias("domain"), "term", F.lit(2).alias("w")))
+    scores = hits.distinct().groupBy(*keys, "domain").agg(F.sum("w").alias("score"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), order)
     return scores.withColumn("rank", F.row_number().over(best).cast("bigint"))
 
 
@@ -338,19 +381,20 @@ def chosen_domain(scores: DataFrame, minimum: int, base: float, step: float, cap
 
 def pick_dimensions(typed: DataFrame, groups: dict[str, Iterable[str]], leftovers: bool = True) -> DataFrame:
     """First categorical column of each group's first matching term; then the unused columns."""
+    keys = keys_of(typed)
     categorical = typed.where(F.col("type") == "categorical")
     hits = vocabulary_matches(categorical, groups)
     order = first_match(*[(F.col("vocabulary") == g, i) for i, g in enumerate(groups)])
-    first = hits.groupBy("vocabulary").agg(F.min_by(F.struct("column", "position"), F.struct("rank", "position")).alias("c"))
-    named = first.select("c.column", "c.position", F.col("vocabulary").alias("label"), order.alias("o"))
-    once = named.groupBy("column", "position").agg(F.min_by("label", "o").alias("label"), F.min("o").alias("o"))
+    first = hits.groupBy(*keys, "vocabulary").agg(F.min_by(F.struct("column", "position"), F.struct("rank", "position")).alias("c"))
+    named = first.select(*keys, "c.column", "c.position", F.col("vocabulary").alias("label"), order.alias("o"))
+    once = named.groupBy(*keys, "column", "position").agg(F.min_by("label", "o").alias("label"), F.min("o").alias("o"))
     if leftovers:
-        rest = categorical.join(once.select("column"), "column", "left_anti")
+        rest = categorical.join(once.select(*keys, "column"), [*keys, "column"], "left_anti")
         once = once.unionByName(
-            rest.select("column", "position", F.lit("grupo").alias("label"), (F.col("position") + 1000).alias("o"))
+            rest.select(*keys, "column", "position", F.lit("grupo").alias("label"), (F.col("position") + 1000).alias("o"))
         )
-    ranked = Window.orderBy("o")
-    return once.select("column", "label", F.row_number().over(ranked).cast("bigint").alias("rank"))
+    ranked = Window.partitionBy(*keys).orderBy("o")
+    return once.select(*keys, "column", "label", F.row_number().over(ranked).cast("bigint").alias("rank"))
 
 
 def fallback_metrics(typed: DataFrame) -> DataFrame:
@@ -360,7 +404,7 @@ def fallback_metrics(typed: DataFrame) -> DataFrame:
     noise = whole_word_col("column", NOISE_TERMS) | contains_any_col("column", ADJUSTMENT_TERMS)
     shown = F.struct((~identifier & ~noise).alias("a"), (~identifier).alias("b"), F.col("positive_sum"), -F.col("position"))
     short = ~whole_word_col("column", SHORT_IDENTIFIER_TERMS)
-    return numeric.agg(
+    return numeric.groupBy(*keys_of(typed)).agg(
         F.max_by("column", shown).alias("dashboard_metric"),
         F.max_by("column", F.struct(short.alias("a"), F.col("abs_sum"), -F.col("position"))).alias("analysis_metric"),
     )
