@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movara.functions.joins import attached
 from movara.llm.common import saved
 
 
 def _starred(edges: DataFrame) -> DataFrame:
     """One round of large-star and small-star; edges run from the larger node ``a`` to the smaller ``b``."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("b"), F.least("a", "low").alias("low"))
-    # nearly all links of a large group end at one node
-    large = attached(edges, lowest, ["b"], F.col("a")).select("a", F.col("low").alias("b")).where("a <> b").distinct()
+    lowest = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
+    large = (
+        edges.join(lowest, edges.b == lowest.node)
+        .select("a", F.col("low").alias("b"))
+        .where("a <> b")
+        .distinct()
+    )
     own = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node")
     others = large.join(own, large.a == own.node).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return others.unionByName(own.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
