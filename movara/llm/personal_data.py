@@ -197,7 +197,7 @@ def reconciled(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int,
     """
     whole: list[list] = []
     for start, kind, end, low, high in pieces:
-        last = next((w for w in reversed(whole) if w[1] == kind and w[2] == w[4] and start == low and w[0] <= start <= w[2] <= end), None)
+        last = next((w for w in reversed(whole) if w[1] == kind and w[2] == w[4] and start == low and w[0] <= start <= w[2]), None)
         if last:
             last[2:] = end, last[3], high
         else:
