@@ -92,12 +92,12 @@ OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(list_zip(q.c, d.c), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.c) = len(d.c)
   WHERE q.vec_id % 20 = 0
 ),
