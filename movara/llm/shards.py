@@ -3,13 +3,14 @@
 Uploads are ordered by a 64-bit key: 36 bits of the text's hash, so that equal texts are neighbours, then
 28 bits of the id's hash, so that a large group of copies can still be cut. Exact bytes and rows below candidate
 boundaries (key prefixes) are counted across all partitions; only prefixes that hold a boundary beyond the tolerance, or too
-many rows for one task, are counted again with a longer prefix. Once every splitter is settled the uploads are
-exchanged once and numbered.
+many rows for one task, are counted again with a longer prefix. Rows of one whole key are repeats of one upload: they are cut by
+their number. Once every splitter is settled the uploads are exchanged once and numbered.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,19 +50,25 @@ class Leaf:
     prefix: int
     size: int
     rows: int
-    shard: int = 0
-    before: int = 0
+    hot: bool = False
+    #: (number of the leaf's first row there, shard, rows of earlier leaves in the shard), in order
+    cuts: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def low(self) -> int:
         return self.prefix << (64 - self.bits)
 
 
+def _small(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few rows that the driver holds, as a frame of literals."""
+    literal = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return spark.range(1).select(F.inline(literal))
+
+
 def _counted(keys: DataFrame, bits: int, within: list[Leaf] | None) -> list[Leaf]:
     """Exact bytes and rows of every prefix, of the keys inside the given leaves."""
     if within:
-        spark = keys.sparkSession
-        parents = spark.createDataFrame([(leaf.prefix,) for leaf in within], "parent long")
+        parents = _small(keys.sparkSession, [{"parent": leaf.prefix} for leaf in within], "parent: bigint")
         keys = keys.join(F.broadcast(parents), prefix(F.col("key"), within[0].bits) == F.col("parent"), "left_semi")
     counts = keys.groupBy(prefix(F.col("key"), bits).alias("prefix")).agg(
         F.sum("size").alias("size"), F.count("*").alias("rows")
@@ -70,7 +77,7 @@ def _counted(keys: DataFrame, bits: int, within: list[Leaf] | None) -> list[Leaf
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[Leaf]:
-    """Leaves in key order with their shard and the rows before them in it.
+    """Leaves in key order with their cuts.
 
     ``keys``: ``key``, ``size``. The driver holds at most 4,096 leaves of the first round and 256 for each leaf
     that was counted again; a round counts again at most ``shards`` - 1 leaves for their boundary and
@@ -78,6 +85,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[Leaf]:
     """
     leaves = _counted(keys, PREFIXES[0], None)
     total, count = sum(leaf.size for leaf in leaves), sum(leaf.rows for leaf in leaves)
+    block = max(1, count * BLOCK_SHARE)
     for bits, longer in zip(PREFIXES, PREFIXES[1:]):
         leaves.sort(key=lambda leaf: leaf.low)
         again, below, target = [], 0, 1
@@ -87,7 +95,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[Leaf]:
                 goal = total * target / shards
                 missed |= min(goal - below, end - goal) > tolerance * total / shards
                 target += 1
-            if leaf.bits == bits and leaf.rows > 1 and (missed or leaf.rows > max(1, count * BLOCK_SHARE)):
+            if leaf.bits == bits and leaf.rows > 1 and (missed or leaf.rows > block):
                 again.append(leaf)
             below = end
         if again:
@@ -96,28 +104,60 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[Leaf]:
     leaves.sort(key=lambda leaf: leaf.low)
     below, filled = 0, [0] * shards
     for leaf in leaves:
-        middle = below + leaf.size / 2  # cut at the nearer end of the leaf
-        leaf.shard = min(shards - 1, int(middle * shards / total))
-        leaf.before = filled[leaf.shard]
-        filled[leaf.shard] += leaf.rows
+        leaf.hot = leaf.bits == PREFIXES[-1] and leaf.rows > block
+        # a leaf goes where its middle lies; of a whole key, where each row's middle lies
+        pieces = leaf.rows if leaf.bits == PREFIXES[-1] else 1
+        at = 0
+        while at < pieces:
+            middle = below * pieces + leaf.size * at + leaf.size / 2
+            shard = min(shards - 1, int(middle * shards / (total * pieces)))
+            end = pieces
+            if shard < shards - 1 and leaf.size:  # the first row whose middle lies beyond the shard
+                beyond = total * (shard + 1) / shards - below
+                end = min(pieces, max(at + 1, int(-(-(beyond * pieces / leaf.size - 0.5) // 1))))
+            leaf.cuts.append((at, shard, filled[shard]))
+            filled[shard] += end - at if pieces > 1 else leaf.rows
+            at = end
         below += leaf.size
     return leaves
 
 
 def placed(rows: DataFrame, leaves: list[Leaf]) -> DataFrame:
-    """Each row with its leaf's shard and rows before, as ``leaf``; the leaves are few by construction."""
-    spark: SparkSession = rows.sparkSession
+    """Each row with its leaf (``low``, ``hot``, ``cuts``); the leaves are few by construction."""
+    cut = ("first", "shard", "before")
+    fields = "prefix: bigint, low: bigint, hot: boolean, cuts: array<struct<first: bigint, shard: int, before: bigint>>"
     found = []
     for bits in sorted({leaf.bits for leaf in leaves}):
-        own = spark.createDataFrame(
-            [(leaf.prefix, leaf.low, leaf.shard, leaf.before) for leaf in leaves if leaf.bits == bits],
-            "prefix long, low long, shard int, before long",
-        ).select("prefix", F.struct("low", "shard", "before").alias(f"leaf{bits}"))
+        few = [
+            {"prefix": leaf.prefix, "low": leaf.low, "hot": leaf.hot, "cuts": [dict(zip(cut, c)) for c in leaf.cuts]}
+            for leaf in leaves
+            if leaf.bits == bits
+        ]
+        own = _small(rows.sparkSession, few, fields).select("prefix", F.struct("low", "hot", "cuts").alias(f"leaf{bits}"))
         rows = rows.join(F.broadcast(own), prefix(F.col("key"), bits) == F.col("prefix"), "left").drop("prefix")
         found.append(f"leaf{bits}")
     return rows.withColumn("leaf", F.coalesce(*found)).drop(*found)
 
 
+def _numbered_repeats(rows: DataFrame, leaves: list[Leaf]) -> DataFrame:
+    """Rows of hot leaves with their ``number``: dealt at random, which is written down, then numbered hand by hand."""
+    count = sum(leaf.rows for leaf in leaves)
+    hands = max(2, int(max(leaf.rows for leaf in leaves) / max(1, count * BLOCK_SHARE)) + 1)
+    dealt = saved(rows.where("leaf.hot").withColumn("hand", F.floor(F.rand(7) * hands)))
+    counts = dealt.groupBy(F.col("leaf.low").alias("low"), "hand").agg(F.count("*").alias("rows")).collect()
+    starts, seen = [], {}
+    for r in sorted(counts):
+        starts.append({"low": r["low"], "dealt": r["hand"], "start": seen.get(r["low"], 0)})
+        seen[r["low"]] = starts[-1]["start"] + r["rows"]
+    start = _small(rows.sparkSession, starts, "low: bigint, dealt: bigint, start: bigint")
+    number = F.row_number().over(Window.partitionBy("leaf.low", "hand").orderBy("tie"))
+    numbered = dealt.withColumn("number", number - 1)
+    same = (F.col("leaf.low") == F.col("low")) & (F.col("hand") == F.col("dealt"))
+    return numbered.join(F.broadcast(start), same).withColumn("number", F.col("number") + F.col("start")).drop(
+        "hand", "low", "dealt", "start"
+    )
+
+
 def shard_uploads(
     uploads: DataFrame, shards: int = 40, tolerance: float = 0.001, carry: tuple[str, ...] = ("dataset_id",)
 ) -> DataFrame:
@@ -129,23 +169,30 @@ def shard_uploads(
     their group.
 
     A missing text counts only its overhead and sorts as an empty one; rows without id share a hash;
-    exactly repeated rows share a key, so an edge never parts them. An empty table stays empty; with
-    fewer uploads than shards some shards have no rows.
+    exactly repeated rows (same id, same text) share a key and are cut by their number: any number of them is
+    dealt over tasks and shards. Of such rows that differ in carried columns the order goes by their hash. An empty table
+    stays empty; with fewer uploads than shards some shards have no rows.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    hashed = [c for c in carry if not any(t in uploads.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
     keyed = uploads.select(
         *[F.col(c) for c in carry],
         upload_size(F.col("content")).alias("size"),
         shard_key(F.col("content"), F.col("dataset_id")).alias("key"),
-        F.xxhash64("content", "dataset_id").alias("tie"),
+        F.xxhash64("content", "dataset_id", *hashed).alias("tie"),
     )
     leaves = splitters(saved(keyed.select("key", "size")), shards, tolerance)
     if not leaves:
         return keyed.select(*carry, "size", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).where("false")
+    rows = placed(keyed, leaves)
     number = F.row_number().over(Window.partitionBy("leaf.low").orderBy("key", "tie"))
-    return placed(keyed, leaves).select(
-        *carry, "size", "leaf.shard", (F.col("leaf.before") + number - 1).alias("slot")
+    numbered = rows.where("not leaf.hot").withColumn("number", (number - 1).cast("long"))
+    if any(leaf.hot for leaf in leaves):
+        numbered = numbered.unionByName(_numbered_repeats(rows, leaves))
+    cut = F.element_at(F.filter("leaf.cuts", lambda c: c["first"] <= F.col("number")), -1)
+    return numbered.withColumn("cut", cut).select(
+        *carry, "size", "cut.shard", (F.col("cut.before") + F.col("number") - F.col("cut.first")).alias("slot")
     )
 
 

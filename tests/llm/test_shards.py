@@ -51,6 +51,29 @@ def test_small_copies_stay_together(spark):
     assert sum(len(s) > 1 for s in split.values()) <= 5
 
 
+def test_a_third_of_all_rows_is_one_row(spark):
+    rows = [(7, "f", "the same upload " * 9) for _ in range(1000)] + [(i, "f", f"report {i} " * 15) for i in range(2000)]
+    result = shared_out(spark, rows, 10)
+    sizes = check(rows, result, 10)
+    assert max(sizes) - min(sizes) <= 700
+    holding = sorted({r.shard for r in result if r.dataset_id == 7 and r.content.startswith("the same")})
+    assert holding == list(range(holding[0], holding[-1] + 1)) and 3 <= len(holding) <= 5
+
+
+def test_only_repeats(spark):
+    for row in ((None, "f", None), (1, "f", "one upload")):
+        sizes = check([row] * 103, shared_out(spark, [row] * 103, 10), 10)
+        assert max(sizes) - min(sizes) <= max(sizes) / 10
+
+
+def test_a_clashing_and_a_map_column_are_carried(spark):
+    some = frame(spark, [(1, "f", "x"), (1, "f", "x"), (2, "f", None)])
+    some = some.withColumn("leaf", F.lit("mine")).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    record = some.select("dataset_id", "content", F.struct("leaf", "m").alias("record"))
+    out = shard_uploads(record, 2, carry=("record",)).collect()
+    assert len(out) == 3 and all(r.record.leaf == "mine" and r.record.m == {"a": 1} for r in out)
+
+
 def test_awkward_rows(spark):
     rows = [(1, "f", None), (1, "f", ""), (None, "f", None), (2, "f", "x" * 300_000), (2, "f", "x" * 300_000), (3, None, "y")]
     check(rows, shared_out(spark, rows, 4), 4)
