@@ -119,7 +119,7 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("size", kind="stable")
     lengths, counts = rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     total, target = int((lengths * counts).sum()), float(rows["target"].iloc[0])
-    whole = min(int(target // total), 2)
+    whole = int(target // total)  # a target is at most ``most`` times its source
     extra = fit(lengths, counts, int(target - whole * total + 0.5))
     return rows[["file_name", "size"]].assign(whole=whole, extra=extra)
 

@@ -73,6 +73,16 @@ def test_whole_mix(spark):
     assert sorted(map(str, again)) == sorted(map(str, result))
 
 
+def test_more_than_two_copies(spark):
+    rows = [(i, "a", "w " * (1 + i % 7)) for i in range(60)] + [(100 + i, "b", "w w") for i in range(10)]
+    result = mix_uploads(frame(spark, rows), share=6.0, most=4.5, carry=("dataset_id", "file_name")).collect()
+    for source in ("a", "b"):
+        taken = sum(r["size"] * r.times for r in result if r.file_name == source)
+        target = next(r.target for r in result if r.file_name == source)
+        assert target == 4.5 * sum(r["size"] for r in result if r.file_name == source) and abs(taken - target) <= 1
+    assert {r.times for r in result} == {4, 5}
+
+
 def test_awkward_rows(spark):
     result = mix_uploads(frame(spark)).collect()
     assert len(result) == len(AWKWARD)
